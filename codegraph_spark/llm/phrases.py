@@ -3,7 +3,7 @@
 1. Candidates. Every window of 13 words is named by the smallest hash of its eight 6-word grams (its anchor), so equal
    windows have equal anchors and there are far fewer anchors than windows. Anchors meet by hash; those of two documents
    or more go back to the blocks of documents that hold them.
-2. Confirmation. Windows whose anchor recurs are named by 128 bits and meet again: the smallest doc_id of each is known.
+2. Confirmation. Windows whose anchor recurs are named by 96 bits and meet again: the smallest doc_id of each is known.
 3. Automata. Each block of documents compiles the word sequences of its confirmed windows into Aho-Corasick automata
    (shards of a bounded number of phrases) and streams all its documents through them to locate every occurrence.
 
@@ -124,11 +124,11 @@ def _recurring_anchors(docs: DataFrame, window: int, gram: int, buckets: int) ->
 
 
 def _digests(h: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    return rolling(h, window, _B1), rolling(h, window, _B2)
+    return rolling(h, window, _B1), (rolling(h, window, _B2) >> _U(32)).astype(np.uint32)
 
 
 def _confirmed_windows(docs: DataFrame, anchors: DataFrame, window: int, gram: int, buckets: int) -> DataFrame:
-    """(block, first, second, least): 128-bit names of windows of two documents or more, and their smallest id."""
+    """(block, first, second, least): 96-bit names of windows of two documents or more, and their smallest id."""
 
     def candidates(key, docs: pa.Table, anchors: pa.Table) -> pa.Table:
         known = np.unique(_join(anchors, "anchors", np.uint64))
@@ -143,7 +143,7 @@ def _confirmed_windows(docs: DataFrame, anchors: DataFrame, window: int, gram: i
                     one, two = _digests(h, window)
                     for o, x in zip(out, (one[hit], two[hit], ids[at : at + 256][doc[hit]]), strict=True):
                         o.append(x)
-        one, two, who = (np.concatenate(o) if o else np.zeros(0, k) for o, k in zip(out, (np.uint64, np.uint64, np.int64), strict=True))
+        one, two, who = (np.concatenate(o) if o else np.zeros(0, k) for o, k in zip(out, (np.uint64, np.uint32, np.int64), strict=True))
         order = np.lexsort((who, two, one))
         one, two, who = one[order], two[order], who[order]
         starts = np.flatnonzero(_first_of_runs(one, two))
@@ -155,7 +155,7 @@ def _confirmed_windows(docs: DataFrame, anchors: DataFrame, window: int, gram: i
         return pa.table({"bucket": packed[0], "block": pa.array(block[: len(packed[0])].astype(np.int32)), "first": packed[1], "second": packed[2], "who": packed[3], "several": packed[4]})
 
     def meet(table: pa.Table) -> pa.Table:
-        one, two, who, several = (_join(table, n, k) for n, k in (("first", np.uint64), ("second", np.uint64), ("who", np.int64), ("several", np.uint8)))
+        one, two, who, several = (_join(table, n, k) for n, k in (("first", np.uint64), ("second", np.uint32), ("who", np.int64), ("several", np.uint8)))
         block = np.repeat(table["block"].to_numpy(), [len(x) // 8 for x in table["first"].to_pylist()])
         order = np.lexsort((who, two, one))
         one, two, who, several, block = one[order], two[order], who[order], several[order], block[order]
@@ -164,6 +164,7 @@ def _confirmed_windows(docs: DataFrame, anchors: DataFrame, window: int, gram: i
         last = starts + sizes - 1
         recurs = np.repeat((who[last] != who[starts]) | (np.maximum.reduceat(several, starts) > 0), sizes)
         least = np.repeat(who[starts], sizes)
+        recurs &= (who > least) | (several > 0)  # a block in which only the first document holds it loses nothing
         packed = _pack(block[recurs], one[recurs], two[recurs], least[recurs])
         return pa.table(dict(zip(("block", "first", "second", "least"), packed, strict=True)))
 
@@ -173,7 +174,7 @@ def _confirmed_windows(docs: DataFrame, anchors: DataFrame, window: int, gram: i
 
 def cover_phrases(docs: list[list[bytes]], ids: list[int], phrases: dict[tuple[bytes, ...], int], shard: int = SHARD_PHRASES) -> list[np.ndarray]:
     """For each document, which words are in an occurrence of a phrase whose smallest id is below the document's own."""
-    numbers: dict[bytes, int] = {}
+    numbers: dict[bytes, int] = {}  # words of phrases; 0 stands for any other
     for p in phrases:
         for w in p:
             numbers.setdefault(w, len(numbers) + 1)
@@ -194,26 +195,39 @@ def cover_phrases(docs: list[list[bytes]], ids: list[int], phrases: dict[tuple[b
     return [np.cumsum(e[:-1]) > 0 for e in edges]
 
 
+def _runs(texts, ids, one, two, least, hashes: WordHashes, window: int) -> dict[tuple[bytes, ...], int]:
+    """Phrases of a block -> smallest id: for each document, its longest stretches of confirmed windows with one smallest id
+    below its own. Every window in a stretch has that smallest id, so a stretch holds wherever it occurs, and what a document
+    has to lose lies in stretches of its own.
+    """
+    phrases: dict[tuple[bytes, ...], int] = {}
+    for words, doc in zip(texts, ids, strict=True):
+        if doc is None or len(words) < window:
+            continue
+        a, b = _digests(hashes.of(words), window)
+        at = np.searchsorted(one, a)
+        most = len(one) - 1
+        hit = one[np.minimum(at, most)] == a
+        # several windows may share the first name: walk on to the second
+        while (far := hit & (at <= most) & (two[np.minimum(at, most)] != b)).any():
+            at = at + far
+            hit &= (at <= most) & (one[np.minimum(at, most)] == a)
+        first = np.where(hit, least[np.minimum(at, most)], doc)
+        starts = np.flatnonzero(np.r_[True, first[1:] != first[:-1]])
+        for s, e in zip(starts.tolist(), np.r_[starts[1:], len(first)].tolist(), strict=True):
+            if first[s] < doc:
+                phrases[tuple(words[s : e + window - 1])] = int(first[s])
+    return phrases
+
+
 def _clean(window: int, gram: int):
     def clean(docs: pa.Table, confirmed: pa.Table) -> pa.Table:
-        one, two, least = (_join(confirmed, n, k) for n, k in (("first", np.uint64), ("second", np.uint64), ("least", np.int64)))
+        one, two, least = (_join(confirmed, n, k) for n, k in (("first", np.uint64), ("second", np.uint32), ("least", np.int64)))
         order = np.lexsort((two, one))
         one, two, least = one[order], two[order], least[order]
         out, hashes = {n: [] for n in ("doc_id", "n_words", "n_removed", "kept")}, WordHashes()
         ids, texts = docs["id"].to_pylist(), _words(docs["text"])
-        phrases: dict[tuple[bytes, ...], int] = {}
-        for words, doc in zip(texts, ids, strict=True) if len(one) else ():
-            if doc is None or len(words) < window:
-                continue
-            a, b = _digests(hashes.of(words), window)
-            at = np.searchsorted(one, a)
-            for s in np.flatnonzero(one[np.minimum(at, len(one) - 1)] == a):
-                i = at[s]
-                while i < len(one) and one[i] == a[s]:
-                    if two[i] == b[s]:
-                        phrases[tuple(words[s : s + window])] = int(least[i])
-                        break
-                    i += 1
+        phrases = _runs(texts, ids, one, two, least, hashes, window) if len(one) else {}
         covered = cover_phrases(texts, [-(2**63) if d is None else d for d in ids], phrases) if phrases else [None] * len(ids)
         for doc, words, gone in zip(ids, texts, covered, strict=True):
             kept = words if gone is None else [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
