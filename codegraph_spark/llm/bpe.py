@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-def merge_piece(piece: bytes, ranks: dict[bytes, int], longest: int) -> list[int]:
+def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Ids of one piece: always merge the leftmost pair of least rank."""
     whole = ranks.get(piece)
     if whole is not None:
@@ -52,37 +53,36 @@ def merge_piece(piece: bytes, ranks: dict[bytes, int], longest: int) -> list[int
     end = list(range(1, n + 1))  # of the token that begins at a byte
     back = list(range(-1, n - 1))  # first byte of the token before
     while (least := tree[1]) != _NONE:
-        i = 1
-        while i < size:
-            i *= 2
-            if tree[i] != least:
-                i += 1
-        i -= size
+        leaf = 1
+        while leaf < size:
+            leaf *= 2
+            if tree[leaf] != least:
+                leaf += 1
+        i = leaf - size
         gone = end[i]
         stop = end[i] = end[gone]
         before = back[i]
-        changed = []
+        low = high = leaf  # the outermost leaves that change
         if stop < n:
             back[stop] = i
-            far = end[stop]
-            changed.append((i, get(piece[i:far], _NONE) if far - i <= longest else _NONE))
+            tree[leaf] = get(piece[i : end[stop]], _NONE)
+            high = size + gone
+            tree[high] = _NONE
         else:
-            changed.append((i, _NONE))
-        if gone < n - 1:
-            changed.append((gone, _NONE))
+            tree[leaf] = _NONE
         if before >= 0:
-            changed.append((before, get(piece[before:stop], _NONE) if stop - before <= longest else _NONE))
-        for leaf, rank in changed:
-            k = size + leaf
-            tree[k] = rank
-            while k > 1:
-                other = tree[k ^ 1]
-                if other < rank:
-                    rank = other
-                k >>= 1
-                if tree[k] == rank:
-                    break
-                tree[k] = rank
+            low = size + before
+            tree[low] = get(piece[before:stop], _NONE)
+        while low > 1:
+            low, leaf, high = low >> 1, leaf >> 1, high >> 1
+            a, b = tree[2 * low], tree[2 * low + 1]
+            tree[low] = a if a < b else b
+            if leaf != low:
+                a, b = tree[2 * leaf], tree[2 * leaf + 1]
+                tree[leaf] = a if a < b else b
+            if high != leaf:
+                a, b = tree[2 * high], tree[2 * high + 1]
+                tree[high] = a if a < b else b
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i : end[i]]])
@@ -107,7 +107,8 @@ class Chunks(dict):
     def __missing__(self, chunk: str) -> bytes:
         if not chunk or chunk[0].isspace():
             raise Chunks.Open
-        ids = self.encoder.whole(" " + chunk)
+        # most chunks are one piece
+        ids = self.encoder[" " + chunk] if chunk.isalpha() else self.encoder.whole(" " + chunk)
         if len(chunk) <= LONGEST:
             if len(self) >= REMEMBERED:
                 self.clear()
@@ -120,7 +121,7 @@ class Encoder(dict):
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         super().__init__()
-        self.ranks, self.longest = ranks, max(map(len, ranks), default=0)
+        self.ranks = ranks
         self.pieces = regex.compile(pattern).findall
         self.chunks = Chunks(self) if pattern == public_pattern() else None
         self.tokens = [b""] * (max(ranks.values(), default=-1) + 1)
@@ -128,7 +129,8 @@ class Encoder(dict):
             self.tokens[rank] = token
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(merge_piece(piece.encode(), self.ranks, self.longest), "<u4").tobytes()
+        found = merge_piece(piece.encode(), self.ranks)
+        ids = struct.pack(f"<{len(found)}I", *found)
         if len(piece) <= LONGEST:
             if len(self) >= REMEMBERED:
                 self.clear()
