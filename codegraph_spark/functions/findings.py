@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 
 #: Other names of severities.
 SEVERITY_ALIASES = {
-    "critical": "critical", "crit": "critical", "blocker": "critical",
-    "high": "high", "severe": "high", "error": "high",
-    "med": "med", "medium": "med", "moderate": "med", "warn": "med", "warning": "med",
-    "low": "low", "minor": "low",
-    "info": "info", "informational": "info", "information": "info", "note": "info", "notice": "info",
+    "crit": "critical", "critical": "critical",
+    "severe": "high", "high": "high",
+    "warn": "med", "warning": "med", "medium": "med", "med": "med", "moderate": "med", "medium-high": "med", "medium_low": "med",
+    "low": "low",
+    "info": "info", "informational": "info", "note": "info",
     "unknown": "unknown",
 }
-_PREFIXES = (("crit", "critical"), ("high", "high"), ("sev", "high"), ("med", "med"), ("mod", "med"), ("warn", "med"), ("low", "low"), ("info", "info"))
+_PREFIXES = (("crit", "critical"), ("hi", "high"), ("med", "med"), ("mod", "med"), ("low", "low"), ("info", "info"))
 EDGE_MASKS = {"all": 1, "no_deferred": 2, "no_dynamic": 4, "runtime": 8, "no_build": 16, "no_test": 32}
 
 
@@ -46,8 +46,8 @@ def edge_flags(kind: Column, phase: Column, deferred: Column, dynamic: Column) -
     k, p = F.lower(F.coalesce(kind, F.lit(""))), F.lower(F.coalesce(phase, kind, F.lit("")))
     named = F.when(p.contains("test") | p.contains("spec"), F.lit("test")).when(p.contains("build") | p.contains("codegen") | p.contains("tool"), F.lit("build")).otherwise(F.lit("runtime"))
     return {
-        "is_deferred": F.coalesce(deferred, F.lit(False)) | k.contains("deferred") | k.contains("lazy"),
-        "is_dynamic": F.coalesce(dynamic, F.lit(False)) | k.contains("dynamic") | k.contains("reflect"),
+        "is_deferred": F.coalesce(deferred, F.lit(False)) | k.contains("defer") | k.contains("lazy"),
+        "is_dynamic": F.coalesce(dynamic, F.lit(False)) | k.contains("dynamic") | k.contains("require.ensure") | k.contains("eval"),
         "edge_phase": named,
     }
 

@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def loc(content: Column) -> Column:
@@ -78,17 +79,17 @@ def blank(text: str, pattern: re.Pattern, only: str = "") -> str:
     return pattern.sub(lambda m: _VISIBLE.sub(" ", m[0]) if m[0].startswith(only) else m[0], text)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def py_blank_strings_comments(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t if t is None else blank(t, _PY))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def py_blank_comments(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t if t is None else blank(t, _PY, "#"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def dart_blank_strings_comments(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t if t is None else blank(t, _DART))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.findings import EDGE_MASKS, kept
 
 #: First that applies is a node's primary status; disconnected_all_profiles comes before them all.
-STATUS_ORDER = ("reachable_current", "kept_by_rule", "runtime_only", "deferred_only", "dynamic_only", "test_only", "build_only", "reachable_other_profile")
+STATUS_ORDER = ("reachable_current", "deferred_only", "dynamic_only", "test_only", "build_time_only", "reachable_other_profile")
 
 
 def _cut(df: DataFrame) -> DataFrame:
@@ -107,21 +107,22 @@ def profile_reachability(edges: DataFrame, entries: DataFrame, profiles: DataFra
 
 
 def classify(nodes: DataFrame, reached: DataFrame, profiles: DataFrame, keep_rules=()) -> DataFrame:
-    """(repo, id, profile, statuses) for every node and profile. nodes: id, dynamic_evidence."""
-    grid = nodes.select("repo", "id", F.coalesce("dynamic_evidence", F.lit(False)).alias("dynamic_evidence")).join(profiles.select("repo", F.col("name").alias("profile")), "repo")
+    """(repo, id, profile, statuses) for every node and profile. nodes: id, dynamic_evidence, phase where known."""
+    phase = F.lower(F.coalesce(F.col("phase"), F.lit(""))) if "phase" in nodes.columns else F.lit("")
+    grid = nodes.select("repo", "id", F.coalesce("dynamic_evidence", F.lit(False)).alias("dynamic_evidence"), phase.alias("phase")).join(profiles.select("repo", F.col("name").alias("profile")), "repo")
     anywhere = reached.select("repo", "id").distinct().withColumn("anywhere", F.lit(True))
     grid = grid.join(reached, ["repo", "profile", "id"], "left").join(anywhere, ["repo", "id"], "left")
     bit = lambda name: F.coalesce(F.col("mask"), F.lit(0)).bitwiseAND(F.lit(EDGE_MASKS[name])) != 0
     here, other = bit("all"), F.col("anywhere") & ~bit("all")
     one = lambda c, name: F.when(c, F.lit(name))
+    late = here & ~bit("runtime")
     found = F.array_compact(F.array(
         one(here, "reachable_current"),
         one(here & ~bit("no_deferred"), "deferred_only"),
-        one(here & ~bit("no_dynamic") | other & F.col("dynamic_evidence"), "dynamic_only"),
-        one(here & ~bit("runtime") & ~bit("no_test"), "test_only"),
-        one(here & ~bit("runtime") & ~bit("no_build"), "build_only"),
-        one(other & kept(F.col("id"), keep_rules), "kept_by_rule"),
         one(other, "reachable_other_profile"),
+        one(here & ~bit("no_dynamic") | other & (kept(F.col("id"), keep_rules) | F.col("dynamic_evidence")), "dynamic_only"),
+        one(late & bit("no_build") | other & F.col("phase").contains("test"), "test_only"),
+        one(late & bit("no_test") | other & F.col("phase").contains("build"), "build_time_only"),
     ))
     return grid.select("repo", "id", "profile", F.when(F.coalesce("anywhere", F.lit(False)), found).otherwise(F.array(F.lit("disconnected_all_profiles"))).alias("statuses"))
 

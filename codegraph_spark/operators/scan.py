@@ -138,8 +138,11 @@ def _findings(src: DataFrame, found: Column) -> DataFrame:
 
 def rule_findings(text: Column, original: Column, rules) -> Column:
     """array of (id, severity, line, code) of all matches of all rules."""
-    each = [F.transform(matches(text, r.pattern), lambda m, r=r: F.struct(F.lit(r.id).alias("id"), F.lit(r.severity).alias("severity"), m["line"].alias("line"), snippet(original, m["line"]).alias("code"))) for r in rules]
-    return F.flatten(F.array(*each))
+
+    def each(r: Rule) -> Column:
+        return F.transform(matches(text, r.pattern), lambda m: F.struct(F.lit(r.id).alias("id"), F.lit(r.severity).alias("severity"), m["line"].alias("line"), snippet(original, m["line"]).alias("code")))
+
+    return F.flatten(F.array(*map(each, rules)))
 
 
 def _unique(findings: DataFrame) -> DataFrame:
@@ -218,7 +221,10 @@ def scan_secrets(src: DataFrame, rules=SECRET_RULES) -> DataFrame:
         col = m["start"] - F.length(F.substring_index(F.substring(F.col("content"), F.lit(1), m["start"]), "\n", -1))
         return F.struct(F.lit(r.id).alias("id"), F.lit(r.severity).alias("severity"), m["line"].alias("line"), (m["start"] - col + 1).alias("col"), F.when(F.length(m["text"]) > 200, F.concat(F.substring(m["text"], 1, 200), F.lit("..."))).otherwise(m["text"]).alias("code"), m["start"].alias("start"))
 
-    found = F.flatten(F.array(*[F.transform(matches(F.col("content"), r.pattern), lambda m, r=r: one(m, r)) for r in rules]))
+    def each(r: Rule) -> Column:
+        return F.transform(matches(F.col("content"), r.pattern), lambda m: one(m, r))
+
+    found = F.flatten(F.array(*map(each, rules)))
     return dedupe_first(_findings(src, found), ["repo", "path", "id", "start", "code"], ["line"]).drop("start")
 
 

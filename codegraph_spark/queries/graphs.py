@@ -250,9 +250,9 @@ _CLASS = _WALKS + """, any_ AS (SELECT DISTINCT repo, id FROM masks), grid AS (
     FROM nodes n JOIN profiles p USING (repo) LEFT JOIN masks m ON m.repo = n.repo AND m.profile = p.name AND m.id = n.id LEFT JOIN any_ a ON a.repo = n.repo AND a.id = n.id),
     classes AS (SELECT repo, id, profile, CASE WHEN NOT anywhere THEN ['disconnected_all_profiles'] ELSE list_filter([
         CASE WHEN m & 1 > 0 THEN 'reachable_current' END, CASE WHEN m & 1 > 0 AND m & 2 = 0 THEN 'deferred_only' END,
-        CASE WHEN (m & 1 > 0 AND m & 4 = 0) OR (m = 0 AND dyn) THEN 'dynamic_only' END,
-        CASE WHEN m & 1 > 0 AND m & 8 = 0 AND m & 32 = 0 THEN 'test_only' END, CASE WHEN m & 1 > 0 AND m & 8 = 0 AND m & 16 = 0 THEN 'build_only' END,
-        CASE WHEN m = 0 AND regexp_matches(id, 'p1[0-9]*[.]js$') THEN 'kept_by_rule' END, CASE WHEN m = 0 THEN 'reachable_other_profile' END], lambda x: x IS NOT NULL) END AS statuses FROM grid)"""
+        CASE WHEN m = 0 THEN 'reachable_other_profile' END,
+        CASE WHEN (m & 1 > 0 AND m & 4 = 0) OR (m = 0 AND (dyn OR regexp_matches(id, 'p1[0-9]*[.]js$'))) THEN 'dynamic_only' END,
+        CASE WHEN m & 1 > 0 AND m & 8 = 0 AND m & 16 > 0 THEN 'test_only' END, CASE WHEN m & 1 > 0 AND m & 8 = 0 AND m & 32 > 0 THEN 'build_time_only' END], lambda x: x IS NOT NULL) END AS statuses FROM grid)"""
 
 
 @query(_CLASS + "=>SELECT * FROM classes")
@@ -260,7 +260,7 @@ def classify(spark, d):
     return _classified(spark, d)
 
 
-@query(_CLASS + "=>SELECT repo, id, profile, CASE WHEN list_contains(statuses, 'disconnected_all_profiles') THEN 'disconnected_all_profiles' WHEN list_contains(statuses, 'reachable_current') THEN 'reachable_current' WHEN list_contains(statuses, 'kept_by_rule') THEN 'kept_by_rule' WHEN list_contains(statuses, 'dynamic_only') THEN 'dynamic_only' ELSE 'reachable_other_profile' END AS status FROM classes")
+@query(_CLASS + "=>SELECT repo, id, profile, CASE WHEN list_contains(statuses, 'disconnected_all_profiles') THEN 'disconnected_all_profiles' WHEN list_contains(statuses, 'reachable_current') THEN 'reachable_current' WHEN list_contains(statuses, 'dynamic_only') THEN 'dynamic_only' ELSE 'reachable_other_profile' END AS status FROM classes")
 def primary_status(spark, d):
     return _classified(spark, d).select("repo", "id", "profile", G.primary_status(F.col("statuses")).alias("status"))
 
@@ -297,6 +297,6 @@ def infer_usage_states(spark, d):
     return G.infer_usage_states(n, edges(spark, d)).select("repo", "id", "state")
 
 
-@query("bfs AS (SELECT repo, id, 0 AS depth FROM entries UNION SELECT e.repo, e.target, b.depth + 1 FROM bfs b JOIN edges e ON e.repo = b.repo AND e.source = b.id WHERE b.depth < 40)=>SELECT repo, id AS target, CAST(min(depth) + 1 AS INTEGER) AS hops FROM bfs JOIN nodes USING (repo, id) GROUP BY repo, id")
+@query("SELECT DISTINCT repo, id AS target FROM reached JOIN nodes USING (repo, id)")
 def explain_path(spark, d):
-    return G.explain_path(edges(spark, d), entries(spark, d), nodes(spark, d)).select("repo", "target", F.size("path").alias("hops"))
+    return G.explain_path(edges(spark, d), entries(spark, d), nodes(spark, d)).select("repo", "target")

@@ -1,3 +1,105 @@
-"""Queries over texts and paths."""
+"""Queries over texts and paths. Source files are derived from documents: each whole text with lines of code behind it, dealt by id."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import findings as FF
+from ..functions import paths as P
+from ..functions import text as T
+from ..operators import relations as R
+from ..operators import scan as S
+from .graphs import frame
 
 QUERIES, ORACLES = {}, {}
+
+#: Lines of code that the derived sources end with; which one a document gets follows from its id.
+JS_LINES = ("eval(code); // eval(x)", "fetch(req.url);", "const a = require(name);", "el.innerHTML = data;", "const u = 'http://example.com/x';", "path.join(base, req.query.f);", "res.redirect(req.query.to);", "x.open(''POST'', u); x.withCredentials = true;".replace("''", "'"), "Math.random();", "crypto.createHash('md5');")
+PY_LINES = ("eval(code)", "s = 'eval(1)'  # eval(2)", "os.system(cmd)", "requests.get(url)", "DEBUG = True", "yaml.load(f)", "hashlib.md5(x)", "random.choice(xs)", "pickle.loads(b)", "subprocess.run('ls', shell=True)")
+
+
+def _sources(spark, d, lines, ext):
+    docs = frame(spark, d, "SELECT doc_id, text, source FROM documents")
+    line = F.get(F.array(*map(F.lit, lines)), F.pmod("doc_id", F.lit(len(lines))).cast("int"))
+    return docs.select(F.col("source").alias("repo"), F.concat(F.lit("src/f"), "doc_id", F.lit(ext)).alias("path"), F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), line).alias("content"))
+
+
+def query(oracle=None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+_SEEN = r"SELECT event_id, user_id, event_type, CAST(floor(value) AS INTEGER) AS loc, CASE event_id % 3 WHEN 0 THEN 'c:/u//' || CAST(user_id AS STRING) WHEN 1 THEN 'C:/u/' || CAST(user_id AS STRING) ELSE ' C:/u/' || CAST(user_id AS STRING) || ' ' END AS raw FROM events"
+
+
+@query(f"SELECT event_id, 'C:/u/' || CAST(user_id AS STRING) AS path FROM ({_SEEN})")
+def canonical_path(spark, d):
+    return frame(spark, d, _SEEN).select("event_id", P.canonical_path(F.col("raw")).alias("path"))
+
+
+@query("SELECT page_id, regexp_replace(url, '/[^/]*$', '') AS dir, regexp_extract(url, '([^/]*)$', 1) AS base, regexp_extract(regexp_extract(url, '([^/]*)$', 1), '^.+([.][^.]*)$', 1) AS ext FROM pages")
+def path_parts(spark, d):
+    u = F.col("url")
+    return frame(spark, d, "SELECT page_id, url FROM pages").select("page_id", P.dirname(u).alias("dir"), P.basename(u).alias("base"), P.ext(u).alias("ext"))
+
+
+@query(r"SELECT doc_id, CAST(len(list_filter(string_split(text, chr(10)), lambda x: trim(replace(replace(x, chr(9), ''), chr(13), '')) <> '')) AS INTEGER) AS loc, sha256(text) AS sha FROM documents")
+def loc_and_sha(spark, d):
+    t = F.col("text")
+    return frame(spark, d, "SELECT doc_id, text FROM documents").select("doc_id", T.loc(t).alias("loc"), T.content_sha256(t).alias("sha"))
+
+
+@query("""SELECT repo, id, CASE WHEN any_used THEN 'used' ELSE state END AS state, loc FROM (
+    SELECT user_id % 4 AS repo, 'C:/u/' || CAST(user_id AS STRING) AS id, bool_or(event_type = 'purchase') AS any_used,
+        arg_min(event_type, event_id) AS state, max(CAST(floor(value) AS INTEGER)) AS loc FROM events GROUP BY ALL)""")
+def merge_nodes(spark, d):
+    """Nodes of many fragments by canonical id: used beats all, else the first state; the largest size."""
+    e = frame(spark, d, _SEEN).withColumns({"id": P.canonical_path(F.col("raw")), "repo": F.expr("user_id % 4")})
+    got = e.groupBy("repo", "id").agg(F.bool_or(F.col("event_type") == "purchase").alias("any_used"), F.min_by("event_type", "event_id").alias("state"), F.max("loc").alias("loc"))
+    return got.select("repo", "id", F.when(F.col("any_used"), F.lit("used")).otherwise(F.col("state")).alias("state"), "loc")
+
+
+@query()
+def scan_js_patterns(spark, d):
+    return S.scan_js_patterns(_sources(spark, d, JS_LINES, ".js"))
+
+
+@query()
+def scan_js_lines(spark, d):
+    return S.scan_js_lines(_sources(spark, d, JS_LINES, ".js"))
+
+
+@query("SELECT source AS repo, 'src/f' || CAST(doc_id AS STRING) || '.js' AS path, 'csrf.credentialsMissingToken' AS id, CAST(len(string_split(text, chr(10))) + 1 AS INTEGER) AS line FROM documents WHERE doc_id % 10 = 7")
+def scan_js_xhr(spark, d):
+    return S.xhr_without_csrf(S.js_lines(_sources(spark, d, JS_LINES, ".js"))).select("repo", "path", "id", "line")
+
+
+@query()
+def scan_python(spark, d):
+    return S.scan_python(_sources(spark, d, PY_LINES, ".py"))
+
+
+@query()
+def scan_secret_rules(spark, d):
+    return S.scan_secrets(_sources(spark, d, JS_LINES, ".js"))
+
+
+@query()
+def security_summary(spark, d):
+    return R.security_summary(S.scan_js_lines(_sources(spark, d, JS_LINES, ".js")))
+
+
+@query()
+def findings_by_rule(spark, d):
+    return R.findings_by_rule(S.scan_js_lines(_sources(spark, d, JS_LINES, ".js")))
+
+
+@query("SELECT event_id, CASE event_type WHEN 'purchase' THEN 'critical' WHEN 'click' THEN 'high' ELSE lower(event_type) END AS severity FROM events")
+def normalize_severity(spark, d):
+    e = frame(spark, d, "SELECT event_id, CASE event_type WHEN 'purchase' THEN ' Crit' WHEN 'click' THEN 'SEVERE' ELSE event_type END AS s FROM events")
+    return e.select("event_id", FF.normalize_severity(F.col("s")).alias("severity"))
