@@ -1,6 +1,6 @@
 """Registered queries of the reference's own operators on tables derived from the driver's."""
 
-from . import graphs, imports, texts
+from . import documents, graphs, imports, texts
 
-QUERIES = graphs.QUERIES | texts.QUERIES | imports.QUERIES
-ORACLES = graphs.ORACLES | texts.ORACLES | imports.ORACLES
+QUERIES = graphs.QUERIES | texts.QUERIES | imports.QUERIES | documents.QUERIES
+ORACLES = graphs.ORACLES | texts.ORACLES | imports.ORACLES | documents.ORACLES
