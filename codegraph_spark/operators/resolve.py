@@ -72,10 +72,36 @@ def resolve_wildcard(imports: DataFrame, names: DataFrame, lang: str = "java") -
     return _edges(imports.where("kind = 'import_wildcard'").join(below, ["repo", "spec"], "left"), P.external_id(lang, F.col("spec")))
 
 
-def resolve_csharp(imports: DataFrame, anchors: DataFrame) -> DataFrame:
-    """Edges of `using`: the namespace's anchor file, else the external package."""
+def resolve_rust(imports: DataFrame, repo_paths: DataFrame, dependencies: DataFrame) -> DataFrame:
+    """Edges of Rust facts: `mod x` leads to x.rs or x/mod.rs beside the file (below its own folder unless it is main, lib or mod);
+    `use` to the longest path below crate, self or super that is a file; else the external crate if dependencies(repo, name) has
+    it. extern crate is always external; a `use` of neither a file nor a dependency gives no edge."""
+    path, spec = F.col("path"), F.col("spec")
+    folder, own = P.dirname(path), P.stem(path)
+    module = F.when(own.isin("main", "lib", "mod"), folder).otherwise(F.concat_ws("/", some(folder), own))
+    parts = F.filter(F.split(F.regexp_replace(spec, r"\s+as\s+\w+$", ""), "::"), lambda x: ~x.isin("", "*"))
+    first = F.coalesce(F.get(parts, F.lit(0)), F.lit(""))
+    head = F.when(first == "crate", F.regexp_extract(path, r"^(.*?\bsrc)/", 1)).when(first == "super", P.dirname(module)).otherwise(module)
+    inner = F.when(first.isin("crate", "self", "super"), F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))).otherwise(parts)
+    lengths = F.filter(F.reverse(F.sequence(F.lit(0), F.size(inner))), lambda n: n > 0)
+    bases = F.transform(F.when(F.size(inner) > 0, lengths).otherwise(F.array().cast("array<int>")), lambda n: F.concat_ws("/", some(head), F.array_join(F.slice(inner, 1, n), "/")))
+    tries = F.when(F.col("kind") == "extern", F.array().cast("array<string>")).otherwise(F.flatten(F.transform(bases, lambda x: F.array(F.concat(x, F.lit(".rs")), F.concat(x, F.lit("/mod.rs"))))))
+    crates = dependencies.select("repo", F.replace("name", F.lit("-"), F.lit("_")).alias("crate"), F.lit(True).alias("known")).distinct()
+    found = _resolve(imports, tries, repo_paths).withColumn("crate", first).join(crates, ["repo", "crate"], "left")
+    return _edges(found.where("hit is not null or known or kind <> 'use'"), P.external_id("rs", spec))
+
+
+def resolve_csharp(imports: DataFrame, anchors: DataFrame, repo_paths: DataFrame | None = None) -> DataFrame:
+    """Edges of `using`: the namespace's anchor file, else the external package; of `using static A.B.C`, where repo_paths are
+    given: A/B/C.cs below src, Source or the root, else the type's external package."""
     found = imports.where("kind = 'using'").join(anchors.select("repo", F.col("namespace").alias("spec"), F.col("anchor").alias("hit")), ["repo", "spec"], "left")
-    return _edges(found, P.external_id("cs", F.col("spec")))
+    plain = _edges(found, P.external_id("cs", F.col("spec")))
+    if repo_paths is None:
+        return plain
+    file = F.concat(F.replace("spec", F.lit("."), F.lit("/")), F.lit(".cs"))
+    tries = F.array(*[F.concat(F.lit(root), file) for root in ("src/", "Source/", "")])
+    static = _resolve(imports.where("kind = 'using_static'"), tries, repo_paths)
+    return plain.unionByName(_edges(static, P.external_id("cs", F.col("spec"), is_type=True)))
 
 
 def resolve_dart(imports: DataFrame, repo_paths: DataFrame, package: str) -> DataFrame:

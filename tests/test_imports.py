@@ -61,3 +61,18 @@ def test_sources(spark, tmp_path):
     (docs / "1.json").write_text('{"nodes": [{"id": "c:\\\\u\\\\a", "state": "used", "sizeLOC": 3}, {"state": "lost"}]}')
     (docs / "2.json").write_text("{broken")
     assert _pairs(S.fragment_nodes(S.read_graph_fragments(spark, str(docs))), "id", "state", "sizeLOC") == [("C:/u/a", "used", 3)]
+
+
+def test_rust_and_static_usings(spark):
+    from codegraph_spark.operators import imports, resolve
+
+    rows = [("r", "src/main.rs", "mod a;\nmod gone;\nuse crate::a::b::Thing;\nuse serde_json::Value;\nuse std::fmt;\nextern crate libc;"), ("r", "src/a.rs", "mod b;\nuse super::c::{D, E as F};"), ("r", "src/a/b.rs", "use self::nothing;"), ("r", "src/c/mod.rs", None)]
+    files = spark.createDataFrame(rows, "repo string, path string, content string")
+    deps = spark.createDataFrame([("r", "serde-json")], "repo string, name string")
+    got = {(r["source"], r["target"], r["kind"]) for r in resolve.resolve_rust(imports.rust_imports(files), files, deps).collect()}
+    assert {("src/main.rs", "src/a.rs", "mod"), ("src/main.rs", "src/a/b.rs", "use"), ("src/main.rs", "crate:serde_json", "use"), ("src/main.rs", "crate:libc", "extern"), ("src/a.rs", "src/a/b.rs", "mod"), ("src/a.rs", "src/c/mod.rs", "use"), ("src/main.rs", "crate:gone", "mod")} == got
+    cs = spark.createDataFrame([("r", "p.cs", "using static A.B.C;\nusing static System.Math;\nusing X;")], "repo string, path string, content string")
+    paths = spark.createDataFrame([("r", "src/A/B/C.cs")], "repo string, path string")
+    anchors = spark.createDataFrame([("r", "X", "x.cs")], "repo string, namespace string, anchor string")
+    got = {(r["target"], r["kind"]) for r in resolve.resolve_csharp(imports.csharp_imports(cs), anchors, paths).collect()}
+    assert got == {("src/A/B/C.cs", "using_static"), ("dotnet:System", "using_static"), ("x.cs", "using")}
