@@ -78,3 +78,24 @@ def external_packages(spark, d):
     names = frame(spark, d, NAMES)
     edges = X.resolve_wildcard(frame(spark, d, WILD), names)
     return R.externals(edges, names.selectExpr("repo", "path AS id")).select("repo", "id", "type", "state")
+
+
+_GO_FILE = "'d' || CAST(p_size AS STRING) || '/p' || CAST(p_partkey AS STRING) || '.go'"
+GO = f"SELECT 'repo' || CAST(p_partkey % 4 AS STRING) AS repo, {_GO_FILE} AS path, 'import \"shop/d' || CAST(p_partkey % 60 AS STRING) || '\"' AS content FROM part"
+
+
+@query(f"SELECT i.repo, i.path AS source, coalesce(t.path, 'std:shop/d' || CAST(i.k AS STRING)) AS target, 'import' AS kind FROM (SELECT 'repo' || CAST(p_partkey % 4 AS STRING) AS repo, {_GO_FILE} AS path, p_partkey % 60 AS k FROM part) i LEFT JOIN (SELECT 'repo' || CAST(p_partkey % 4 AS STRING) AS repo, {_GO_FILE} AS path, p_size FROM part) t ON i.repo = t.repo AND i.k = t.p_size")
+def resolve_go(spark, d):
+    src = frame(spark, d, GO)
+    modules = src.selectExpr("repo", "'shop' AS module").distinct()
+    return X.resolve_go(I.go_imports(src), src, modules).select("repo", "source", "target", "kind")
+
+
+_DART = "'lib/p' || CAST(p_partkey AS STRING) || '.dart'"
+DART = f"SELECT 'repo' || CAST(p_partkey % 4 AS STRING) AS repo, {_DART} AS path, 'import ''package:shop/p' || CAST(p_partkey + p_size AS STRING) || '.dart'';' AS content FROM part"
+
+
+@query(f"SELECT 'repo' || CAST(i.p_partkey % 4 AS STRING) AS repo, 'lib/p' || CAST(i.p_partkey AS STRING) || '.dart' AS source, CASE WHEN t.p_partkey IS NULL THEN 'pub:shop' ELSE 'lib/p' || CAST(t.p_partkey AS STRING) || '.dart' END AS target, 'import' AS kind FROM part i LEFT JOIN part t ON t.p_partkey = i.p_partkey + i.p_size AND t.p_partkey % 4 = i.p_partkey % 4")
+def resolve_dart(spark, d):
+    src = frame(spark, d, DART)
+    return X.resolve_dart(I.dart_imports(src), src, "shop").select("repo", "source", "target", "kind")
