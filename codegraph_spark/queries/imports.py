@@ -99,3 +99,23 @@ DART = f"SELECT 'repo' || CAST(p_partkey % 4 AS STRING) AS repo, {_DART} AS path
 def resolve_dart(spark, d):
     src = frame(spark, d, DART)
     return X.resolve_dart(I.dart_imports(src), src, "shop").select("repo", "source", "target", "kind")
+
+
+RUST = "SELECT 'repo' || CAST(p_partkey % 4 AS STRING) AS repo, 'src/p' || CAST(p_partkey AS STRING) || '.rs' AS path, 'use crate::p' || CAST(p_partkey + p_size AS STRING) || '::Thing;' AS content FROM part"
+
+
+@query("SELECT 'repo' || CAST(i.p_partkey % 4 AS STRING) AS repo, 'src/p' || CAST(i.p_partkey AS STRING) || '.rs' AS source, 'src/p' || CAST(t.p_partkey AS STRING) || '.rs' AS target, 'use' AS kind FROM part i JOIN part t ON t.p_partkey = i.p_partkey + i.p_size AND t.p_partkey % 4 = i.p_partkey % 4")
+def resolve_rust(spark, d):
+    src = frame(spark, d, RUST)
+    none = src.selectExpr("repo", "'serde' AS name").distinct()
+    return X.resolve_rust(I.rust_imports(src), src, none).select("repo", "source", "target", "kind")
+
+
+CSHARP = "SELECT 'repo' || CAST(p_partkey % 4 AS STRING) AS repo, 'src/P' || CAST(p_partkey AS STRING) || '.cs' AS path, 'using Shop.N' || CAST(p_size AS STRING) || ';' AS content FROM part"
+ANCHORED = "SELECT 'repo' || CAST(p_partkey % 4 AS STRING) AS repo, 'src/P' || CAST(p_partkey AS STRING) || '.cs' AS path, 'Shop.N' || CAST(p_size + 10 AS STRING) AS namespace FROM part"
+
+
+@query(f"SELECT i.repo, i.path AS source, coalesce(a.anchor, 'nuget:' || i.spec) AS target, 'using' AS kind FROM (SELECT 'repo' || CAST(p_partkey % 4 AS STRING) AS repo, 'src/P' || CAST(p_partkey AS STRING) || '.cs' AS path, 'Shop.N' || CAST(p_size AS STRING) AS spec FROM part) i LEFT JOIN (SELECT repo, namespace, min(path) AS anchor FROM ({ANCHORED}) GROUP BY ALL) a ON a.repo = i.repo AND a.namespace = i.spec")
+def resolve_csharp(spark, d):
+    anchors = R.namespace_anchor(frame(spark, d, ANCHORED))
+    return X.resolve_csharp(I.csharp_imports(frame(spark, d, CSHARP)), anchors).select("repo", "source", "target", "kind")
