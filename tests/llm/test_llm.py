@@ -190,3 +190,36 @@ def test_pipeline_stages(spark):
             assert out.columns == docs.columns
         assert 0 < out.count() <= last.count()
         last = out
+
+
+def jaccard_groups(texts):
+    """Components of five-word Jaccard similarity 0.8 or more, by brute force."""
+    sets = []
+    for t in texts:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    comp = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 5 * len(a & b) >= 4 * len(a | b):
+                old, new = comp[i], comp[j]
+                comp = [min(old, new) if c in (old, new) else c for c in comp]
+    return comp
+
+
+def test_pipeline_near_copies_brute_force(spark):
+    import corpus_pipeline as p
+
+    texts = ["one two", "One two", "three"]
+    for n in range(12):
+        base = [f"{n}x{random.randint(0, 10**6)}" for _ in range(200)]
+        texts.append(" ".join(base))
+        for edits in (1, 2, 3, 4, 6, 9):
+            copy = list(base)
+            for at in random.sample(range(200), edits):
+                copy[at] = f"edit{random.randint(0, 10**6)}"
+            texts.append(" ".join(copy))
+    docs = table(spark, texts)
+    left = {r["doc_id"] for r in p.near_copies(spark, docs, "").collect()}
+    assert left == {c + 1 for c in jaccard_groups(texts)}
+    assert len(left) < 60
