@@ -62,13 +62,14 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, gram: int = GRAM, identity: bool = False) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items), one row per row of docs.
 
     A document word is hit inside any occurrence of `window` consecutive words of an item, or of a whole shorter item. items
     holds the item ids with occurring windows, sorted as strings; null and repeated ids of items are kept once. contaminated:
     any word hit, and a twentieth of the words or more. Null and empty texts have no words and hit nothing; equal item texts
-    are compared once; repeated document rows each get their row; an empty benchmark hits nothing.
+    are compared once; repeated document rows each get their row; an empty benchmark hits nothing. identity: the columns of
+    row_identity come first, to join the result back to rows whose ids are null or repeated.
     """
     grams = window - gram + 1
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), words(F.col(item_text_col)).alias("w")).where("size(w) > 0").withColumn("seq", F.xxhash64("w"))
@@ -120,4 +121,4 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     result = per_doc.select(ROW_DOC, ROW_HASH, "n_hit").join(named, [ROW_DOC, ROW_HASH], "left")
     out = counted.select(ROW_DOC, ROW_HASH, "doc_id", "n_words").join(result, [ROW_DOC, ROW_HASH], "left")
     n_hit, found = F.coalesce("n_hit", F.lit(0).cast("long")), F.coalesce("items", F.array().cast("array<string>"))
-    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(found).cast("long").alias("n_items"), F.sha2(F.array_join(found, ","), 256).alias("items_sha256"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"), found.alias("items"))
+    return out.select(*([ROW_DOC, ROW_HASH] if identity else []), "doc_id", "n_words", n_hit.alias("n_hit"), F.size(found).cast("long").alias("n_items"), F.sha2(F.array_join(found, ","), 256).alias("items_sha256"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"), found.alias("items"))

@@ -223,3 +223,28 @@ def test_pipeline_near_copies_brute_force(spark):
     left = {r["doc_id"] for r in p.near_copies(spark, docs, "").collect()}
     assert left == {c + 1 for c in jaccard_groups(texts)}
     assert len(left) < 60
+
+
+def test_pipeline_stages_with_null_and_repeated_ids(spark, tmp_path):
+    import corpus_pipeline as p
+
+    item = prose(40)
+    spark.createDataFrame([(1, " ".join(item))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    a, b, c = (" ".join(f"{x}{i}" for i in range(100)) for x in "abc")
+    bad = " ".join(item)
+
+    def rows(found):
+        return sorted(((r["doc_id"], r["text"]) for r in found.collect()), key=str)
+
+    docs = table(spark, [bad, c, bad, a, a, bad], [None, None, 3, 3, 4, 4])
+    assert rows(p.benchmark_free(spark, docs, str(tmp_path))) == sorted([(None, c), (3, a), (4, a)], key=str)
+    docs = table(spark, [a, a, a + " x", b, b, b, c, c, bad], [None, None, 3, 3, 5, 5, 6, 6, None])
+    assert rows(p.near_copies(spark, docs, "")) == sorted([(3, a + " x"), (3, b), (6, c), (None, bad)], key=str)
+    assert p.near_copies(spark, docs.limit(0), "").count() == 0
+    full = table(spark, [a + " password=abcdefg1", None], [None, None]).withColumns({"lang": F.lit("en"), "n_chars": F.lit(1).cast("long")})
+    full = full.union(full.withColumn("doc_id", F.lit(7).cast("long"))).union(full)
+    assert [r["doc_id"] for r in p.secret_free(spark, full, "").collect()].count(7) == 2 and p.tokens(spark, full, "").count() == 6
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    docs = docs.union(docs.withColumn("doc_id", F.lit(None).cast("long")))
+    kept = p.language(spark, docs, "")
+    assert kept.where("doc_id is null").count() * 2 == kept.count() > 0
