@@ -167,18 +167,50 @@ def _email(f: Feistel, s: str, back: bool = False) -> str | None:
 #: kind, form, transformation; at one start the first that validates is taken.
 KINDS = (
     ("ip", re.compile(rf"(?<![\w.-])\d{{1,3}}\.\d{{1,3}}\.\d{{1,3}}\.\d{{1,3}}(?![\w-]|\.\d)"), _ip),
-    ("date", re.compile(rf"(?<![\w./-])(?:\d{{4}}-\d\d-\d\d|\d\d([./])\d\d\1\d{{4}})(?![\w-]|[./]\d)"), _date),
+    ("date", re.compile(rf"(?<![\w./-])(?:\d{{4}}-\d\d-\d\d|\d\d([./])\d\d\1\d{{4}})(?:(?![\w-]|[./]\d)|(?<=-\d\d)(?=T\d\d(?::?\d\d|(?!\w))))"), _date),
     ("ssn", re.compile(rf"(?<![\w-])\d{{3}}-\d\d-\d{{4}}(?![\w-])"), _ssn),
-    ("card", re.compile(r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-])"), _card),
     ("phone", re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,5}\)[ .-]?)?\d(?:[ .-]?\d){4,13}|\(\d{3}\) ?\d{3}[-. ]\d{4}|\d{3}[-.]\d{3}[-.]\d{4})(?![\w-])"), _phone),
 )
 _IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
+_GROUP = re.compile(r"\d+")
+_RUN = re.compile(r"(?<![\w-])\d+(?:[ -]\d+)*")
 _MAIL = re.compile(r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})*\.[A-Za-z]{2,24}(?![\w-])")
 _DIGITS = re.compile(r"\d{2}")
 
 
+def card_spans(text: str):
+    """Spans of 13 to 19 digits that start and end at digit groups of a run of groups."""
+    for run in _RUN.finditer(text):
+        groups = [(run.start() + m.start(), run.start() + m.end()) for m in _GROUP.finditer(run[0])]
+        after = text[run.end() : run.end() + 1]
+        if after and (after.isalnum() or after in "_-"):
+            groups.pop()
+        for i, (start, _) in enumerate(groups):
+            n = 0
+            for low, end in groups[i:]:
+                n += end - low
+                if n > 19:
+                    break
+                if n >= 13:
+                    yield start, end
+
+
+def iban_spans(text: str):
+    """Spans of the IBAN's form, and their shorter ones that end where a group of letters and digits does."""
+    at = 0
+    while m := _IBAN.search(text, at):
+        at = m.start() + 1
+        yield m.span()
+        for gap in re.finditer(" ", m[0]):
+            yield m.start(), m.start() + gap.start()
+
+
 def pseudonymise(text: str, f: Feistel, back: bool = False) -> tuple[str, dict[str, int]]:
-    """The text with validated values replaced, and how many of each kind."""
+    """The text with validated values replaced, and how many of each kind.
+
+    Of the card and IBAN candidates at one start the longest that validates is taken. Where a card has digits beside it, its
+    pseudonym may form a longer valid card with them; going back then reads that one.
+    """
     found = []
     if "@" in text:
         for i in [m.start() for m in re.finditer("@", text)]:
@@ -188,11 +220,12 @@ def pseudonymise(text: str, f: Feistel, back: bool = False) -> tuple[str, dict[s
             if m := _MAIL.match(text, low):
                 found.append((m.start(), -m.end(), 0, "email", _email))
     if _DIGITS.search(text):
-        for n, (kind, form, change) in enumerate(KINDS, 1):
+        for n, (kind, form, change) in zip((1, 2, 3, 5), KINDS, strict=True):
             found += [(m.start(), -m.end(), n, kind, change) for m in form.finditer(text)]
-        found += [(m.start(), -m.end(), 9, "iban", _iban) for m in _IBAN.finditer(text)]
+        found += [(start, -end, 4, "card", _card) for start, end in card_spans(text)]
+        found += [(start, -end, 9, "iban", _iban) for start, end in iban_spans(text)]
     parts, last, counts = [], 0, {}
-    for start, end, _, kind, change in sorted(found, key=lambda x: (x[0], x[2])):
+    for start, end, _, kind, change in sorted(found, key=lambda x: (x[0], x[2], x[1])):
         if start >= last and (new := change(f, text[start:-end], back)) is not None:
             parts += [text[last:start], new]
             last = -end

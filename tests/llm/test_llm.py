@@ -248,3 +248,15 @@ def test_pipeline_stages_with_null_and_repeated_ids(spark, tmp_path):
     docs = docs.union(docs.withColumn("doc_id", F.lit(None).cast("long")))
     kept = p.language(spark, docs, "")
     assert kept.where("doc_id is null").count() * 2 == kept.count() > 0
+
+
+def test_pii_beside_other_digits_and_words():
+    f = pii.Feistel(b"k")
+    card, iban = "4111 1111 1111 1111", "ES91 2100 0418 4502 0005 1332"
+    for text, kind, value in (
+        (f"card {card} 12/27", "card", card), ("order 12 4111111111111111 paid", "card", "4111111111111111"), ("4111111111111111 123", "card", "4111111111111111"),
+        (f"{iban} EUR", "iban", iban), (f"{iban}, EUR", "iban", iban), (f"AB12 {iban}", "iban", iban), ("at 2024-01-02T10:00:00Z", "date", "2024-01-02"),
+    ):
+        new, counts = pii.pseudonymise(text, f)
+        assert counts == {kind: 1} and value not in new and len(new) == len(text)
+        assert [new.startswith(text[: text.index(value)]), new.endswith(text[text.index(value) + len(value) :])] == [True, True]
