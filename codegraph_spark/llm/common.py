@@ -87,6 +87,21 @@ def sliding_min(h: np.ndarray, w: int) -> np.ndarray:
     return out
 
 
+def join_hot(left: DataFrame, right: DataFrame, key: str, share: int = 1000) -> DataFrame:
+    """left join right on key (inner), where right has one row a key at most and left is cheap to read again.
+
+    Keys that hold more than one in `share` rows of left can be no more than `share`: their rows of right are broadcast, so
+    that a hot key needs no shuffle; all other keys are joined as usual.
+    """
+    hot = left.groupBy(key).agg(F.count("*").alias("__cg_n")).where(F.col("__cg_n") > left.count() / share).where(F.col(key).isNotNull())
+    hot = [r[0] for r in hot.select(key).collect()]
+    if not hot:
+        return left.join(right, key)
+    named = F.col(key).isin(hot)
+    cold = left.where(F.coalesce(~named, F.lit(True))).join(right.where(F.coalesce(~named, F.lit(True))), key)
+    return left.where(named).join(F.broadcast(right.where(named)), key).unionByName(cold)
+
+
 def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]]], schema: str) -> DataFrame:
     """mapInArrow with per-task state: make() builds the batch function once a task."""
 
