@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from .common import arrow_map
 
 ROUNDS = 10
+#: Letters and digits that are permuted as one number.
+MOST_DIGITS = 256
 #: Days that dates are permuted within.
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
@@ -30,8 +32,9 @@ class Feistel:
         self.key = hashlib.blake2b(key, digest_size=32).digest()
 
     def _round(self, label: str, i: int, x: int, most: int) -> int:
-        data = f"{label}|{i}|{x}".encode()
-        return int.from_bytes(hashlib.blake2b(data, key=self.key, digest_size=max(16, (most.bit_length() + 71) // 8) if most.bit_length() < 440 else 64).digest(), "big") % most
+        data, size = f"{label}|{i}|{x}".encode(), max(16, (most.bit_length() + 71) // 8)
+        digest = hashlib.blake2b(data, key=self.key, digest_size=size).digest() if size <= 64 else hashlib.shake_256(self.key + data).digest(size)
+        return int.from_bytes(digest, "big") % most
 
     def split(self, label: str, left: int, right: int, a: int, b: int, back: bool = False) -> tuple[int, int]:
         """Permute (left, right) of [0, a) x [0, b)."""
@@ -53,11 +56,20 @@ class Feistel:
                 return x
 
     def digits(self, label: str, values: list[int], radices: list[int], back: bool = False) -> list[int]:
-        """Permute a number given by its digits, each of its own radix."""
+        """Permute a number given by its digits, each of its own radix; of more than MOST_DIGITS, part by part."""
+        if len(values) > MOST_DIGITS:
+            parts = [self.digits(f"{label}|{at}", values[at : at + MOST_DIGITS], radices[at : at + MOST_DIGITS], back) for at in range(0, len(values), MOST_DIGITS)]
+            return [x for part in parts for x in part]
         half = len(values) // 2
         if not half:
             return [self.number(label, values[0], radices[0], back)] if values else []
-        pack = lambda v, r: sum(x * math.prod(r[i + 1 :]) for i, x in enumerate(v))
+
+        def pack(v: list[int], r: list[int]) -> int:
+            n = 0
+            for x, radix in zip(v, r, strict=True):
+                n = n * radix + x
+            return n
+
         a, b = math.prod(radices[:half]), math.prod(radices[half:])
         label = f"{label}|{a}|{b}"
         out = []
@@ -145,16 +157,17 @@ def _date(f: Feistel, s: str, back: bool = False) -> str | None:
             continue
         if not FIRST_DAY <= day <= LAST_DAY:
             return None
+        # days up to the 12th and later ones are permuted among themselves, in every spelling: so a result in
+        # day/month/year is read in that order again, and one day has one pseudonym however it is written
         while True:
             day = FIRST_DAY + f.number("date", day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, back)
             x = datetime.date.fromordinal(day)
-            if len(orders) == 1:
-                return x.isoformat() if iso else f"{x.day:02d}.{x.month:02d}.{x.year:04d}"
-            # month/day/year where that is a date, else day/month/year: walk on until the result is read the same way
-            if k == 0:
-                return f"{x.month:02d}/{x.day:02d}/{x.year:04d}"
-            if x.day > 12:
-                return f"{x.day:02d}/{x.month:02d}/{x.year:04d}"
+            if (x.day > 12) == (d > 12):
+                break
+        if len(orders) == 1:
+            return x.isoformat() if iso else f"{x.day:02d}.{x.month:02d}.{x.year:04d}"
+        # month/day/year where that is a date, else day/month/year
+        return f"{x.month:02d}/{x.day:02d}/{x.year:04d}" if k == 0 else f"{x.day:02d}/{x.month:02d}/{x.year:04d}"
     return None
 
 
@@ -174,7 +187,7 @@ KINDS = (
 _IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
 _GROUP = re.compile(r"\d+")
 _RUN = re.compile(r"(?<![\w-])\d+(?:[ -]\d+)*")
-_MAIL = re.compile(r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})*\.[A-Za-z]{2,24}(?![\w-])")
+_MAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})*\.[A-Za-z]{2,24}(?![\w-])")
 _DIGITS = re.compile(r"\d{2}")
 
 
@@ -215,7 +228,7 @@ def pseudonymise(text: str, f: Feistel, back: bool = False) -> tuple[str, dict[s
     if "@" in text:
         for i in [m.start() for m in re.finditer("@", text)]:
             low = i
-            while low and i - low < 64 and (text[low - 1].isascii() and text[low - 1].isalnum() or text[low - 1] in "._%+-"):
+            while low and (text[low - 1].isascii() and text[low - 1].isalnum() or text[low - 1] in "._%+-"):
                 low -= 1
             if m := _MAIL.match(text, low):
                 found.append((m.start(), -m.end(), 0, "email", _email))
@@ -237,7 +250,7 @@ def pseudonymise_documents(docs: DataFrame, key: bytes, id_col: str = "doc_id",
     """(doc_id, text, n_pii, kinds map<string, long>), one row per row of docs.
 
     Null text stays null with n_pii 0. Null and repeated ids pass through; an empty table gives no rows; other columns are
-    ignored. Emails, phone numbers, cards, IBANs, IPv4 addresses, social security numbers and dates are replaced where valid.
+    ignored. Whole texts are read, and whole local parts of addresses, however long. Emails, phone numbers, cards, IBANs, IPv4 addresses, social security numbers and dates are replaced where valid.
     """
 
     def make():
