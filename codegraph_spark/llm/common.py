@@ -16,10 +16,12 @@ ROW_DOC, ROW_HASH = "__cg_doc", "__cg_row"
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named in spark.checkpoint.dir; set a private one only where none is named."""
+    """Use the shared folder named in spark.checkpoint.dir; a private one only where none is named and all runs on this machine."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if sc.getCheckpointDir() is None:
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="cg-checkpoint-"))
 
 
