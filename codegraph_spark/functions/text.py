@@ -19,35 +19,47 @@ def content_sha256(content: Column) -> Column:
     return F.sha2(content, 256)
 
 
-def newlines(text: Column) -> Column:
-    return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+#: Marks that a text is cut at; a text that holds one itself gets a space in its place.
+_BEGIN, _END = "\x01", "\x02"
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """array<struct<start, line, text>> of a pattern's matches: start is the 0-based offset, line counts from one.
+def _bind(value: Column, body) -> Column:
+    """body(value) with value evaluated once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
 
-    Splitting by the pattern gives what lies between the matches, so both come from one left-to-right sum.
-    """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    zero = F.struct(F.lit(0).alias("at"), F.lit(1).alias("line"), F.array().cast("array<struct<start:int,line:int,text:string>>").alias("out"))
+def marked(text: Column, pattern: str) -> Column:
+    """The text with a mark before and behind every match, left to right; a plain text where nothing matches."""
+    clean = F.when(text.contains(_BEGIN) | text.contains(_END), F.translate(text, _BEGIN + _END, "  ")).otherwise(text)
+    return F.regexp_replace(clean, pattern, f"{_BEGIN}$0{_END}")
 
-    def step(a: Column, x: Column) -> Column:
-        start, line = a["at"] + F.length(x["gap"]), a["line"] + newlines(x["gap"])
-        one = F.array(F.struct(start.alias("start"), line.alias("line"), x["hit"].alias("text")))
-        return F.struct((start + F.length(x["hit"])).alias("at"), (line + newlines(x["hit"])).alias("line"), F.concat(a["out"], one).alias("out"))
 
-    pairs = F.zip_with(found, F.slice(between, 1, F.size(found)), lambda hit, gap: F.struct(hit.alias("hit"), gap.alias("gap")))
-    return F.when(F.size(found) > 0, F.aggregate(pairs, zero, step)["out"]).otherwise(F.array().cast("array<struct<start:int,line:int,text:string>>"))
+def matches(text: Column, pattern: str) -> Column:
+    """array<struct<line, text>> of a pattern's matches, line counted from one; linear in the text, however many there are."""
+    number = lambda x, i: F.replace(x, F.lit(_BEGIN), F.concat(F.lit(_BEGIN), (i + 1).cast("string"), F.lit(":")))
+    part = lambda x: F.struct(F.substring_index(x, ":", 1).cast("int").alias("line"), F.regexp_extract(x, f"(?s)^\\d+:(.*?){_END}", 1).alias("text"))
+
+    def cut(m: Column) -> Column:
+        numbered = F.array_join(F.transform(F.split(m, "\n"), number), "\n")
+        return F.when(m.contains(_BEGIN), F.transform(F.filter(F.split(numbered, _BEGIN), lambda _, i: i > 0), part)).otherwise(F.array().cast("array<struct<line:int,text:string>>"))
+
+    return _bind(marked(text, pattern), cut)
 
 
 def line_of_match(text: Column, pattern: str) -> Column:
     return F.transform(matches(text, pattern), lambda m: m["line"])
 
 
-def snippet(text: Column, line: Column, most: int | None = None) -> Column:
-    """The trimmed line of a match; cut with `...` beyond `most` characters where given."""
-    s = F.trim(F.try_element_at(F.split(text, "\n"), line))
+def lines_of_matches(text: Column, pattern: str) -> Column:
+    """array<struct<line, n>>: lines on which matches begin, and how many do."""
+    count = lambda x, i: F.struct((i + 1).alias("line"), (F.length(x) - F.length(F.replace(x, F.lit(_BEGIN), F.lit("")))).alias("n"))
+    cut = lambda m: F.when(m.contains(_BEGIN), F.filter(F.transform(F.split(m, "\n"), count), lambda x: x["n"] > 0)).otherwise(F.array().cast("array<struct<line:int,n:int>>"))
+    return _bind(marked(text, pattern), cut)
+
+
+def snippet(lines: Column, line: Column, most: int | None = None) -> Column:
+    """The trimmed line of a match, from a text's lines; cut with `...` beyond `most` characters where given."""
+    s = F.trim(F.try_element_at(lines, line))
     return s if most is None else F.when(F.length(s) > most, F.concat(F.substring(s, 1, most), F.lit("..."))).otherwise(s)
 
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.findings import EDGE_MASKS, kept
@@ -13,33 +14,56 @@ from ..functions.findings import EDGE_MASKS, kept
 STATUS_ORDER = ("reachable_current", "deferred_only", "dynamic_only", "test_only", "build_time_only", "reachable_other_profile")
 
 
+#: Steps of a walk between two checkpoints, and deltas of visited nodes that are kept side by side before they are merged.
+HOPS, DELTAS = 6, 8
+
+
 def _cut(df: DataFrame) -> DataFrame:
-    """checkpoint() into the shared folder of spark.checkpoint.dir; a private one only where none is named."""
+    """checkpoint() into the shared folder of spark.checkpoint.dir; a private one only where none is named and all runs here."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="cg-checkpoint-"))
     return df.checkpoint()
 
 
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.union, parts)
+
+
 def walk(edges: DataFrame, seeds: DataFrame, keys=("repo",), mask: bool = False) -> DataFrame:
     """Breadth-first closure. edges(*keys, source, target[, mask]), seeds(*keys, id[, mask]) -> (*keys, id[, mask]).
 
-    With masks, a bit walks only edges that have it, and each node keeps the bits that reached it. Each step joins the frontier
-    (rows with new bits) to the edges and is checkpointed; the loop ends with an empty frontier. Null ids are ignored.
+    With masks, a bit walks only edges that have it, and each node keeps the bits that reached it. A round takes HOPS steps
+    from the frontier in one job and is checkpointed once: its new bits, and those that its last step alone found, which are
+    the next frontier. Visited nodes stay where they were written; they are merged once in DELTAS rounds. Null ids are ignored.
     """
-    keys, one = list(keys), F.lit(1)
+    by, one = [*keys, "id"], F.lit(1)
     bits = F.col("mask") if mask else one
-    out = _cut(edges.select(*keys, F.col("source").alias("id"), F.col("target").alias("to"), bits.alias("edge_mask")).where("id is not null and `to` is not null").groupBy(*keys, "id", "to").agg(F.bit_or("edge_mask").alias("edge_mask")))
-    done = _cut(seeds.select(*keys, "id", bits.alias("mask")).where("id is not null").groupBy(*keys, "id").agg(F.bit_or("mask").alias("mask")))
-    frontier = done
+    out = _cut(edges.select(*keys, F.col("source").alias("id"), F.col("target").alias("to"), bits.alias("edge_mask")).where("id is not null and `to` is not null").groupBy(*by, "to").agg(F.bit_or("edge_mask").alias("edge_mask")))
+    frontier = _cut(seeds.select(*by, bits.alias("mask")).where("id is not null").groupBy(*by).agg(F.bit_or("mask").alias("mask")))
+    seen = [frontier]
     while not frontier.isEmpty():
-        step = frontier.join(out, [*keys, "id"]).select(*keys, F.col("to").alias("id"), F.col("mask").bitwiseAND(F.col("edge_mask")).alias("mask")).where("mask <> 0")
-        step = step.groupBy(*keys, "id").agg(F.bit_or("mask").alias("new"))
-        fresh = step.join(done, [*keys, "id"], "left").select(*keys, "id", F.col("new").bitwiseAND(F.bitwise_not(F.coalesce("mask", F.lit(0)))).alias("mask")).where("mask <> 0")
-        frontier = _cut(fresh)
-        done = _cut(done.union(frontier).groupBy(*keys, "id").agg(F.bit_or("mask").alias("mask")))
-    return done if mask else done.select(*keys, "id")
+        steps, at = [], frontier
+        for hop in range(1, HOPS + 1):
+            step = at.join(out, by).select(*keys, F.col("to").alias("id"), F.col("mask").bitwiseAND(F.col("edge_mask")).alias("mask")).where("mask <> 0")
+            at = step.groupBy(*by).agg(F.bit_or("mask").alias("mask"))
+            steps.append(at.select(*by, "mask", (F.col("mask") if hop < HOPS else F.lit(0)).alias("early")))
+        found = _union(steps).groupBy(*by).agg(F.bit_or("mask").alias("found"), F.bit_or("early").alias("early"))
+        old = _union(seen)
+        if mask:
+            old = old.groupBy(*by).agg(F.bit_or("mask").alias("mask"))
+        new = F.col("found").bitwiseAND(F.bitwise_not(F.coalesce("mask", F.lit(0))))
+        fresh = found.join(old, by, "left").select(*by, new.alias("mask"), new.bitwiseAND(F.bitwise_not("early")).alias("last")).where("mask <> 0")
+        fresh = _cut(fresh)
+        frontier = fresh.where("last <> 0").select(*by, F.col("last").alias("mask"))
+        seen.append(fresh.select(*by, "mask"))
+        if len(seen) > DELTAS:
+            seen = [_cut(_union(seen).groupBy(*by).agg(F.bit_or("mask").alias("mask")))]
+    done = _union(seen)
+    return done.groupBy(*by).agg(F.bit_or("mask").alias("mask")) if mask else done.select(*by)
 
 
 def reach(edges: DataFrame, entries: DataFrame) -> DataFrame:
@@ -62,11 +86,9 @@ def node_states(nodes: DataFrame, reached: DataFrame, side_effects: DataFrame |
 
 def by_priority(options: list[DataFrame]) -> DataFrame:
     """(repo, id) of each repo's first option that has rows."""
-    ranked = options[0].select("repo", "id", F.lit(0).alias("rank"))
-    for n, o in enumerate(options[1:], 1):
-        ranked = ranked.union(o.select("repo", "id", F.lit(n)))
-    w = Window.partitionBy("repo")
-    return ranked.withColumn("least", F.min("rank").over(w)).where("rank = least").select("repo", "id").distinct()
+    ranked = _union([o.select("repo", "id", F.lit(n).alias("rank")) for n, o in enumerate(options)])
+    least = ranked.groupBy("repo").agg(F.min("rank").alias("rank"))
+    return ranked.join(least, ["repo", "rank"], "left_semi").select("repo", "id").distinct()
 
 
 def entries_with_fallback(named: DataFrame, files: DataFrame) -> DataFrame:
@@ -148,19 +170,37 @@ def infer_usage_states(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def explain_path(edges: DataFrame, entries: DataFrame, targets: DataFrame) -> DataFrame:
-    """(repo, target, path): a shortest path from an entry to each target, ties to the smaller parent; targets out of reach give none."""
+    """(repo, target, path): a shortest path from an entry to each target, ties to the smaller parent; targets out of reach give none.
+
+    Both the search and the way back take HOPS steps a round; visited nodes are kept as in walk().
+    """
+    by = ["repo", "id"]
     out = _cut(edges.select("repo", F.col("source").alias("id"), F.col("target").alias("to")).distinct())
-    seen = _cut(entries.select("repo", "id", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent")).distinct())
-    frontier, depth = seen, 0
+    frontier, depth = _cut(entries.select("repo", "id", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent")).where("id is not null").distinct()), 0
+    seen = [frontier]
     while not frontier.isEmpty():
-        depth += 1
-        step = frontier.join(out, ["repo", "id"]).groupBy("repo", F.col("to").alias("id")).agg(F.lit(depth).alias("depth"), F.min("id").alias("parent"))
-        frontier = _cut(step.join(seen, ["repo", "id"], "left_anti"))
-        seen = _cut(seen.union(frontier))
-    paths = targets.select("repo", F.col("id").alias("target")).distinct().join(seen.withColumnRenamed("id", "target"), ["repo", "target"]).select("repo", "target", F.array("target").alias("path"), F.col("parent").alias("next"))
-    ready, todo = paths.where("next is null"), paths.where("next is not null")
+        steps, at = [], frontier
+        for _ in range(HOPS):
+            depth += 1
+            at = at.join(out, by).groupBy("repo", F.col("to").alias("id")).agg(F.lit(depth).alias("depth"), F.min("id").alias("parent")).where("id is not null")
+            steps.append(at)
+        # the first step that finds a node is its distance, and all its parents there are one step nearer
+        first = _union(steps).groupBy(*by).agg(F.min(F.struct("depth", "parent")).alias("x")).select(*by, "x.depth", "x.parent")
+        fresh = _cut(first.join(_union(seen).select(*by), by, "left_anti"))
+        frontier = fresh.where(F.col("depth") == depth)
+        seen.append(fresh)
+        if len(seen) > DELTAS:
+            seen = [_cut(_union(seen))]
+    known = _cut(_union(seen))
+    parents = known.select("repo", F.col("id").alias("next"), "parent")
+    todo = targets.select("repo", F.col("id").alias("target")).distinct().join(known.withColumnRenamed("id", "target"), ["repo", "target"]).select("repo", "target", F.array("target").alias("path"), F.col("parent").alias("next"))
+    ready = [todo.where("next is null")]
+    todo = todo.where("next is not null")
     while not todo.isEmpty():
-        up = todo.join(seen.select("repo", F.col("id").alias("next"), "parent"), ["repo", "next"])
-        todo = _cut(up.select("repo", "target", F.concat(F.array("next"), "path").alias("path"), F.col("parent").alias("next")))
-        ready, todo = ready.union(todo.where("next is null")), todo.where("next is not null")
-    return ready.select("repo", "target", "path")
+        for _ in range(HOPS):
+            longer = F.when(F.col("next").isNotNull(), F.concat(F.array("next"), "path")).otherwise(F.col("path"))
+            todo = todo.join(parents, ["repo", "next"], "left").select("repo", "target", longer.alias("path"), F.col("parent").alias("next"))
+        todo = _cut(todo)
+        ready.append(todo.where("next is null"))
+        todo = todo.where("next is not null")
+    return _union(ready).select("repo", "target", "path")

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.findings import normalize_severity
-from ..functions.text import dart_blank_strings_comments, js_strip_comments, matches, py_blank_comments, py_blank_strings_comments, snippet
+from ..functions.text import dart_blank_strings_comments, js_strip_comments, lines_of_matches, py_blank_comments, py_blank_strings_comments, snippet
 from .relations import dedupe_first
 
 
@@ -60,7 +60,8 @@ JS_RULES = (
     Rule("ssrf.metadataHost", "high", r"(?:https?://)?(?:169\.254\.169\.254|10\.(?:[0-9]{1,3}\.){2}[0-9]{1,3}|172\.(?:1[6-9]|2[0-9]|3[01])\.[0-9]{1,3}\.[0-9]{1,3}|192\.168\.[0-9]{1,3}\.[0-9]{1,3})"),
     Rule("injection.mongoOperator", "high", r"\$(?:where|regex)\s*:"),
     Rule("regex.dynamic", "med", rf"(?:new\s+)?RegExp\s*\(\s*+(?![\"'`/])"),
-    Rule("regex.catastrophic", "high", r"/[^/\\\n]*+(?:\\.[^/\\\n]*+)*?\([^)\n]*\+[^)\n]*\)[^/\\\n]*\+[^/\\\n]*+(?:\\.[^/\\\n]*+)*+/"),
+    # unrolled: an alternative in a loop recurses once a character in Java
+    Rule("regex.catastrophic", "high", r"/[^/\\]*(?:\\.[^/\\]*)*\([^)]*\+[^)]*\)[^/\\]*(?:\\.[^/\\]*)*\+[^/\\]*(?:\\.[^/\\]*)*/"),
     Rule("cors.credentialsWildcard", "high", r"(?is)Access-Control-Allow-Origin[^\n;]*\*.{0,200}?Access-Control-Allow-Credentials[^\n;]*true"),
     Rule("tls.disabledEnv", "high", r"NODE_TLS_REJECT_UNAUTHORIZED\s*=\s*0"),
     Rule("tls.agentInsecure", "high", r"https?\.Agent\s*\(\s*\{[^}]*rejectUnauthorized\s*:\s*false"),
@@ -136,11 +137,11 @@ def _findings(src: DataFrame, found: Column) -> DataFrame:
     return rows.withColumn("severityNormalized", normalize_severity(F.col("severity")))
 
 
-def rule_findings(text: Column, original: Column, rules) -> Column:
-    """array of (id, severity, line, code) of all matches of all rules."""
+def rule_findings(text: Column, lines: Column, rules) -> Column:
+    """array of (id, severity, line, code): the lines on which matches of the rules begin; lines is the array of the original's."""
 
     def each(r: Rule) -> Column:
-        return F.transform(matches(text, r.pattern), lambda m: F.struct(F.lit(r.id).alias("id"), F.lit(r.severity).alias("severity"), m["line"].alias("line"), snippet(original, m["line"]).alias("code")))
+        return F.transform(lines_of_matches(text, r.pattern), lambda m: F.struct(F.lit(r.id).alias("id"), F.lit(r.severity).alias("severity"), m["line"].alias("line"), snippet(lines, m["line"]).alias("code")))
 
     return F.flatten(F.array(*map(each, rules)))
 
@@ -151,7 +152,8 @@ def _unique(findings: DataFrame) -> DataFrame:
 
 def scan_js_patterns(src: DataFrame, rules=JS_RULES) -> DataFrame:
     plain = src.select("repo", "path", js_strip_comments(F.col("content")).alias("content"))
-    return _unique(_findings(plain, rule_findings(F.col("content"), F.col("content"), rules)))
+    plain = plain.withColumn("lines", F.split("content", "\n"))
+    return _unique(_findings(plain, rule_findings(F.col("content"), F.col("lines"), rules)))
 
 
 def js_line_checks(raw: Column) -> list[tuple[str, str, Column]]:
@@ -188,8 +190,12 @@ def js_lines(src: DataFrame) -> DataFrame:
     return plain.select("repo", "path", (F.col("i") + 1).alias("line"), "raw")
 
 
+#: Every check asks for one of these words, so other lines are dropped by one look.
+_TRIGGER = r"(?i)fetch|axios|request|query|merge|assign|path\.join|extract|entry|spawn|execfile|storage|indexeddb|fs\.|samesite|cookie|location|redirect|req\.file"
+
+
 def scan_js_lines(src: DataFrame) -> DataFrame:
-    rows = js_lines(src)
+    rows = js_lines(src).where(F.col("raw").rlike(_TRIGGER))
     found = F.array_compact(F.array(*[F.when(c, F.struct(F.lit(i).alias("id"), F.lit(s).alias("severity"), F.col("line").alias("line"), F.trim("raw").alias("code"))) for i, s, c in js_line_checks(F.col("raw"))]))
     return _unique(_findings(rows, found))
 
@@ -208,31 +214,39 @@ def xhr_without_csrf(lines: DataFrame) -> DataFrame:
 
 
 def scan_python(src: DataFrame) -> DataFrame:
-    text = src.select("repo", "path", "content", py_blank_strings_comments("content").alias("blanked"), py_blank_comments("content").alias("quoted"))
-    o = F.col("content")
-    found = F.concat(rule_findings(F.col("blanked"), o, PY_RULES), rule_findings(F.col("quoted"), o, PY_QUOTED), rule_findings(o, o, PY_RAW))
+    text = src.select("repo", "path", "content", py_blank_strings_comments("content").alias("blanked"), py_blank_comments("content").alias("quoted"), F.split("content", "\n").alias("lines"))
+    lines = F.col("lines")
+    found = F.concat(rule_findings(F.col("blanked"), lines, PY_RULES), rule_findings(F.col("quoted"), lines, PY_QUOTED), rule_findings(F.col("content"), lines, PY_RAW))
     return _unique(_findings(text, found))
 
 
 def scan_secrets(src: DataFrame, rules=SECRET_RULES) -> DataFrame:
-    """With column (from one) and the match cut at 200 characters; unique by (rule, start, end)."""
+    """With column (from one) and the match cut at 200 characters; each match once. The rules' matches end with their line."""
+    rows = src.select("repo", "path", F.posexplode(F.split("content", "\n")).alias("i", "raw"))
+    rows = rows.where(F.col("raw").rlike("|".join(f"(?:{r.pattern})" for r in rules)))
 
     def one(m: Column, r: Rule) -> Column:
-        col = m["start"] - F.length(F.substring_index(F.substring(F.col("content"), F.lit(1), m["start"]), "\n", -1))
-        return F.struct(F.lit(r.id).alias("id"), F.lit(r.severity).alias("severity"), m["line"].alias("line"), (m["start"] - col + 1).alias("col"), F.when(F.length(m["text"]) > 200, F.concat(F.substring(m["text"], 1, 200), F.lit("..."))).otherwise(m["text"]).alias("code"), m["start"].alias("start"))
+        text = F.when(F.length(m) > 200, F.concat(F.substring(m, 1, 200), F.lit("..."))).otherwise(m)
+        return F.struct(F.lit(r.id).alias("id"), F.lit(r.severity).alias("severity"), (F.col("i") + 1).alias("line"), text.alias("code"), m.alias("match"))
 
-    def each(r: Rule) -> Column:
-        return F.transform(matches(F.col("content"), r.pattern), lambda m: one(m, r))
+    def each_match(r: Rule) -> Column:
+        return F.transform(F.regexp_extract_all("raw", F.lit(r.pattern), F.lit(0)), lambda m: one(m, r))
 
-    found = F.flatten(F.array(*map(each, rules)))
-    return dedupe_first(_findings(src, found), ["repo", "path", "id", "start", "code"], ["line"]).drop("start")
+    found = F.flatten(F.array(*map(each_match, rules)))
+    each = rows.select("repo", "path", "raw", F.posexplode(found).alias("n", "f")).select("repo", "path", "raw", "n", "f.*")
+    # equal matches of a line stand at their own places, in order
+    nth = F.row_number().over(Window.partitionBy("repo", "path", "line", "id", "match").orderBy("n"))
+    each = each.withColumn("__cg_nth", nth)
+    each = each.withColumn("col", F.length(F.expr("substring_index(raw, match, __cg_nth)")) + 1)
+    out = each.select("repo", "path", "id", "severity", "line", "col", "code").distinct()
+    return out.withColumn("severityNormalized", normalize_severity(F.col("severity")))
 
 
 def scan_dart_api(src: DataFrame) -> DataFrame:
-    text = src.select("repo", "path", "content", dart_blank_strings_comments("content").alias("blanked"))
+    text = src.select("repo", "path", "content", dart_blank_strings_comments("content").alias("blanked"), F.split("content", "\n").alias("lines"))
     inside = [r for r in DART_RULES if r.id != "dart.mirrors.use"]
     mirrors = [r for r in DART_RULES if r.id == "dart.mirrors.use"]  # named in a directive's string
-    return _unique(_findings(text, F.concat(rule_findings(F.col("blanked"), F.col("content"), inside), rule_findings(F.col("content"), F.col("content"), mirrors))))
+    return _unique(_findings(text, F.concat(rule_findings(F.col("blanked"), F.col("lines"), inside), rule_findings(F.col("content"), F.col("lines"), mirrors))))
 
 
 def merge_findings(direct: DataFrame, referenced: DataFrame) -> DataFrame:

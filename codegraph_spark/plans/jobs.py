@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.findings import edge_active, edge_flags, edge_mask
+from ..operators import calls as C
 from ..operators import documents as D
 from ..operators import graph as G
 from ..operators import imports as I
@@ -69,7 +70,7 @@ def merge_and_classify(docs: DataFrame, keep_rules=()) -> DataFrame:
 def scan_sources(files: DataFrame) -> DataFrame:
     """Findings of source files (repo, path, lang, content): the language's rules, and the secret rules on every file."""
     js, py, dart = (files.where(F.col("lang") == x) for x in ("js", "py", "dart"))
-    found = [S.scan_js_patterns(js), S.scan_js_lines(js), S.xhr_without_csrf(S.js_lines(js)), S.scan_python(py), S.scan_dart_api(dart), S.scan_secrets(files)]
+    found = [S.scan_js_patterns(js), S.scan_js_lines(js), C.scan_js_calls(js), S.xhr_without_csrf(S.js_lines(js)), S.scan_python(py), S.scan_dart_api(dart), S.scan_secrets(files)]
     out = found[0].select(FINDING)
     for f in found[1:]:
         out = out.unionByName(f.select(FINDING))
