@@ -61,14 +61,39 @@ def default_exports(text: Column) -> Column:
     return F.concat(own, common)
 
 
+def listed_exports(text: Column) -> Column:
+    """array of (grp, name) of `export { a, b as c }`, with or without `from`: types where the list or the item is marked so; of a
+    re-export, `x as default` is group default with the name x."""
+    blocks = _all(text, r"\bexport\s+(?:type\s+)?\{[^}]*\}(?:\s*from\b)?", 0)
+
+    def items(b: Column) -> Column:
+        typed, again = b.rlike(r"^export\s+type\b"), b.rlike(r"from$")
+        parts = F.filter(F.transform(F.split(F.regexp_extract(b, r"\{([^}]*)\}", 1), ","), lambda x: F.trim(x)), lambda x: x != "")
+
+        def one(x: Column) -> Column:
+            mark = x.rlike(rf"^type\s+(?!as\b){_ID}")
+            plain = F.when(mark, F.regexp_replace(x, r"^type\s+", "")).otherwise(x)
+            name, alias = F.regexp_extract(plain, rf"^({_ID})", 1), F.regexp_extract(plain, rf"\sas\s+({_ID})", 1)
+            local = F.when(alias != "", alias).otherwise(name)
+            default = again & (local == "default")
+            kind = F.when(typed | mark, F.array(F.lit("types"))).otherwise(F.array(F.lit("named")))
+            groups = F.when(default, F.when(typed | mark, F.array(F.lit("default"), F.lit("types"))).otherwise(F.array(F.lit("default")))).otherwise(kind)
+            shown = F.when(default, name).otherwise(local)
+            return F.transform(groups, lambda g: F.struct(g.alias("grp"), shown.alias("name")))
+
+        return F.flatten(F.transform(parts, one))
+
+    return F.filter(F.flatten(F.transform(blocks, items)), lambda x: x["name"] != "")
+
+
 def js_exports(src: DataFrame) -> DataFrame:
     """(repo, path, grp, name), each once. Groups: named, default, functions, classes, types, interfaces, enums, variables,
     reexports, starReexports. Comments are not read; null contents export nothing."""
     t = F.col("text")
     pair = lambda grp: lambda n: F.struct(F.lit(grp).alias("grp"), n.alias("name"))
     found = [F.transform(_all(t, p), pair(g)) for groups, p in JS_NAMED for g in groups]
-    listed = F.flatten(F.transform(_all(t, r"\bexport\s+(?:type\s+)?\{([^}]*)\}"), lambda b: F.split(b, ",")))
-    found.append(F.transform(_names(F.transform(listed, lambda x: F.regexp_extract(F.regexp_replace(F.trim(x), rf"^(?:type\s+)?{_ID}\s+as\s+|^type\s+", ""), rf"^({_ID})", 1))), pair("named")))
+    found.append(F.transform(listed_exports(t), lambda x: F.struct(x["grp"].alias("grp"), x["name"].alias("name"))))
+    found.append(F.transform(_all(t, rf"\bexport\s+\*\s+as\s+({_ID})"), pair("named")))
     declared = F.flatten(F.transform(_all(t, r"\bexport\s+(?:const|let|var)\s+(?!enum\b)(\{[^}]*\}[^;\n]*|\[[^\]]*\][^;\n]*|[^;\n]+)"), declared_names))
     found += [F.transform(declared, pair("variables")), F.transform(declared, pair("named"))]
     keys = F.flatten(F.transform(_all(t, r"\bmodule\.exports\s*=\s*\{([^}]*)\}"), lambda b: F.split(b, "[,;]")))

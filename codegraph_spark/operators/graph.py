@@ -109,8 +109,7 @@ def normalize_profiles(raw: DataFrame, use_id: bool = False) -> DataFrame:
     kind = F.schema_of_variant(doc)
     flags = lambda v: F.coalesce(*[F.try_variant_get(v, p, "map<string,string>") for p in ("$.flags", "$.gates")])
     single = raw.where(kind == "STRING").select("repo", F.lit(0).alias("pos"), F.try_variant_get(doc, "$", "string").alias("name"), F.lit(None).cast("map<string,string>").alias("flags"))
-    raw.createOrReplaceTempView("__cg_profiles")
-    items = raw.sparkSession.sql("SELECT repo, e.pos, e.key, e.value FROM __cg_profiles, LATERAL variant_explode(doc) e WHERE schema_of_variant(doc) <> 'STRING'")
+    items = raw.sparkSession.sql("SELECT repo, e.pos, e.key, e.value FROM {raw}, LATERAL variant_explode(doc) e WHERE schema_of_variant(doc) <> 'STRING'", raw=raw)
     v = F.col("value")
     own = F.coalesce(*([F.try_variant_get(v, "$.id", "string")] if use_id else []), F.try_variant_get(v, "$.name", "string"))
     plain = F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))

@@ -106,13 +106,26 @@ def go_imports(src: DataFrame) -> DataFrame:
     return rows.select("repo", "path", F.col("line_no").alias("line"), F.lit("import").alias("kind"), spec.alias("spec")).where("spec is not null")
 
 
+def _ungrouped(use: Column) -> Column:
+    """`a::{b, c::{d, e}}` as `a::b, a::c::d, a::c::e`: groups are written out from the inside, one a round."""
+    pattern = r"([\w:]*)\{([^{}]*)\}"
+
+    def step(x: Column, _: Column) -> Column:
+        head, inner, whole = (F.regexp_extract(x, pattern, n) for n in (1, 2, 0))
+        items = F.array_join(F.transform(F.filter(F.split(inner, ","), lambda i: F.trim(i) != ""), lambda i: F.concat(head, F.trim(i))), ", ")
+        at = F.instr(x, whole)
+        return F.when(whole != "", F.concat(F.substring(x, F.lit(1), at - 1), items, F.substring(x, at + F.length(whole), F.length(x)))).otherwise(x)
+
+    opened = F.length(use) - F.length(F.replace(use, F.lit("{"), F.lit("")))
+    return F.when(opened > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(opened, F.lit(1))), use, step)).otherwise(use)
+
+
 def rust_imports(src: DataFrame) -> DataFrame:
-    """(repo, path, line, kind, spec): mod, extern crate and use; one level of braces becomes one row per name."""
+    """(repo, path, line, kind, spec): mod, extern crate and use; groups in braces, also within each other, give a row a name."""
     mod, crate = _group(r"^\s*(?:pub(?:\([^)]*\))?\s+)?mod\s+(\w+)\s*;"), _group(r"^\s*(?:pub\s+)?extern\s+crate\s+(\w+)")
     use = _group(r"^\s*(?:pub(?:\([^)]*\))?\s+)?use\s+([^;]+)")
-    head, inner = F.regexp_extract(use, r"^([^{]*)", 1), F.regexp_extract(use, r"\{([^}]*)\}", 1)
-    plain = lambda x: F.regexp_replace(F.trim(x), r"\s+as\s+\w+$", "")
-    names = F.when(inner != "", F.transform(F.filter(F.split(inner, ","), lambda x: F.trim(x) != ""), lambda x: F.regexp_replace(F.concat(F.trim(head), plain(x)), "::self$", ""))).when(use.isNotNull(), F.array(plain(use)))
+    plain = lambda x: F.regexp_replace(F.regexp_replace(F.trim(x), r"\s+as\s+\w+$", ""), r"::self$", "")
+    names = F.filter(F.transform(F.split(_ungrouped(use), ","), plain), lambda x: x != "")
     one = lambda kind, x: F.when(x.isNotNull(), F.array(F.struct(F.lit(kind).alias("kind"), x.alias("spec"))))
     found = F.coalesce(one("mod", mod), one("extern", crate), F.transform(names, lambda x: F.struct(F.lit("use").alias("kind"), x.alias("spec"))))
     return lines(src).select("repo", "path", F.col("line_no").alias("line"), F.explode(found).alias("x")).select("repo", "path", "line", "x.*")
@@ -120,7 +133,7 @@ def rust_imports(src: DataFrame) -> DataFrame:
 
 def jvm_imports(src: DataFrame) -> DataFrame:
     """(repo, path, line, kind, spec, is_static) of Java and Kotlin; `a.b.*` is kind import_wildcard with spec a.b."""
-    rows = lines(src).withColumns({"spec": _group(r"^\s*import\s+(?:static\s+)?([\w.]+?)(?:\.\*)?\s*(?:;|\sas\s|//|$)"), "is_static": F.col("code").rlike(r"^\s*import\s+static\s"), "kind": F.when(F.col("code").rlike(r"^\s*import\s+(?:static\s+)?[\w.]+\.\*"), F.lit("import_wildcard")).otherwise(F.lit("import"))})
+    rows = lines(src).withColumns({"spec": _group(r"^\s*import\s+(?:static\s+)?([\w.]+?)(?:\.\*)?\s*(?:;|\sas\s|//|$)"), "is_static": F.col("code").rlike(r"^\s*import\s+static\s"), "kind": F.when(F.col("code").rlike(r"^\s*import\s+(?:static\s+)?[\w.]+\.\*"), F.lit("import_wildcard")).when(F.col("code").rlike(r"^\s*import\s+static\s"), F.lit("import_static")).otherwise(F.lit("import"))})
     return rows.where("spec is not null").select("repo", "path", F.col("line_no").alias("line"), "kind", "spec", "is_static")
 
 
@@ -132,11 +145,15 @@ def csharp_imports(src: DataFrame) -> DataFrame:
 
 
 def dart_imports(src: DataFrame) -> DataFrame:
-    """(repo, path, line, kind, spec, alias, deferred): import, export and part directives (`part of`: part_of)."""
+    """(repo, path, line, kind, spec, alias, deferred, show, hide): import, export and part directives (`part of`: part_of)."""
     pattern = r"""^\s*(import|export|part\s+of|part)\s+["']([^"']+)["']"""
     rows = lines(src).where(F.col("code").rlike(pattern))
     kind = F.regexp_replace(_group(pattern), r"\s+", "_")
-    return rows.select("repo", "path", F.col("line_no").alias("line"), kind.alias("kind"), _group(pattern, 2).alias("spec"), _group(r"\sas\s+(\w+)").alias("alias"), F.col("code").rlike(r"\sdeferred\s+as\s").alias("deferred"))
+    names = lambda word: F.flatten(F.transform(F.regexp_extract_all("code", F.lit(rf"\s{word}\s+([\w\s,]+?)(?=\s+(?:show|hide)\s|\s*;|$)"), F.lit(1)), lambda x: F.split(F.trim(x), r"\s*,\s*")))
+    return rows.select(
+        "repo", "path", F.col("line_no").alias("line"), kind.alias("kind"), _group(pattern, 2).alias("spec"), _group(r"\sas\s+(\w+)").alias("alias"),
+        F.col("code").rlike(r"\sdeferred\s+as\s").alias("deferred"), names("show").alias("show"), names("hide").alias("hide"),
+    )
 
 
 def declared_package(lang: str) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,8 +61,11 @@ def all_nodes(files: DataFrame, externals: DataFrame) -> DataFrame:
 
 
 def unresolved_imports(imports: DataFrame, edges: DataFrame) -> DataFrame:
-    """Imports of a file without an internal target."""
-    return imports.join(edges.select("repo", "path", "ord").distinct(), ["repo", "path", "ord"], "left_anti")
+    """Imports of a file without an internal target; edges are a resolver's, which keep what names their import."""
+    keys = ["repo", *[c for c in ("ord", "line", "spec", "module", "name") if c in imports.columns and c in edges.columns]]
+    inside = edges.where("internal").select(F.col("source").alias("__cg_path"), *[F.col(c).alias(f"__cg_{c}") for c in keys]).distinct()
+    same = reduce(lambda a, c: a & F.col(c).eqNullSafe(F.col(f"__cg_{c}")), keys, F.col("path") == F.col("__cg_path"))
+    return imports.join(inside, same, "left_anti")
 
 
 def namespace_peers(files: DataFrame, anchors: DataFrame) -> DataFrame:

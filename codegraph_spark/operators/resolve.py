@@ -7,22 +7,31 @@ from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from .imports import some
+from .modules import KOTLIN_ROOTS, module_lookup, python_modules
 
 #: Endings in the order they are tried.
 JS_ENDINGS = ("", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", "/index.ts", "/index.tsx", "/index.js", "/index.jsx", "/index.mjs", "/index.cjs")
-EDGE = ["repo", "source", "target", "kind", "certainty"]
+
+
+#: What tells an import of a file from its others, where the imports carry it.
+ASKED = ("ord", "line", "spec", "module", "name")
 
 
 def _resolve(imports: DataFrame, candidates: Column, existing: DataFrame) -> DataFrame:
-    """imports plus `hit`, the first candidate that exists; null where none. Repeated import rows are asked once, but all stay."""
+    """imports plus `hit`: what the first candidate that exists leads to (itself, or the column `hit` of existing); null where
+    none. Repeated import rows are asked once, but all stay."""
+    known = existing if "hit" in existing.columns else existing.select("repo", "path", F.col("path").alias("hit"))
     asked = imports.select("repo", candidates.alias("__cg_all")).distinct()
     exploded = asked.select("repo", "__cg_all", F.posexplode("__cg_all").alias("rank", "path"))
-    hits = exploded.join(existing.select("repo", "path").distinct(), ["repo", "path"]).groupBy("repo", "__cg_all").agg(F.min_by("path", "rank").alias("hit"))
+    hits = exploded.join(known.select("repo", "path", "hit").distinct(), ["repo", "path"]).groupBy("repo", "__cg_all").agg(F.min_by("hit", "rank").alias("hit"))
     return imports.withColumn("__cg_all", candidates).join(hits, ["repo", "__cg_all"], "left").drop("__cg_all")
 
 
 def _edges(found: DataFrame, outside: Column, unknown: str = "static") -> DataFrame:
-    return found.select("repo", F.col("path").alias("source"), F.coalesce("hit", outside).alias("target"), "kind", F.when(F.col("hit").isNotNull(), F.lit("static")).otherwise(F.lit(unknown)).alias("certainty"))
+    """Edges of resolved imports; `internal` tells those that lead to a file, and what names the import is kept."""
+    there = F.col("hit").isNotNull()
+    certainty = F.when(there, F.lit("static")).otherwise(F.lit(unknown)).alias("certainty")
+    return found.select("repo", F.col("path").alias("source"), F.coalesce("hit", outside).alias("target"), "kind", certainty, there.alias("internal"), *[c for c in ASKED if c in found.columns])
 
 
 def resolve_js(imports: DataFrame, repo_paths: DataFrame) -> DataFrame:
@@ -34,18 +43,23 @@ def resolve_js(imports: DataFrame, repo_paths: DataFrame) -> DataFrame:
 
 
 def resolve_python(imports: DataFrame, repo_paths: DataFrame) -> DataFrame:
-    """Edges of Python imports: `from a import b` tries a.b, then a; leading dots climb from the file's folder; each module is
-    a file or a package; else the external package, which is only a guess."""
-    folder = F.filter(F.split(P.dirname(F.col("path")), "/"), lambda x: x != "")
-    climbed = F.slice(folder, 1, F.greatest(F.size(folder) - F.col("rel_dots") + 1, F.lit(0)))
-    start = F.when(F.col("rel_dots") > 0, climbed).otherwise(F.array().cast("array<string>"))
-    module = F.filter(F.split("module", r"\."), lambda x: x != "")
-    whole = F.concat(start, module)
-    named = F.when(F.col("name").isNotNull() & ~F.col("star"), F.concat(whole, F.array("name")))
-    both = F.filter(F.array(named, whole), lambda x: F.coalesce(F.size(x), F.lit(0)) > 0)
-    tries = F.flatten(F.transform(both, lambda x: F.array(*[F.concat(F.array_join(x, "/"), F.lit(e)) for e in (".py", "/__init__.py", ".pyi")])))
-    outside = F.concat(F.lit("pip:"), F.substring_index(F.coalesce(some(F.col("module")), F.col("name")), ".", 1))
-    return _edges(_resolve(imports, tries, repo_paths), outside, "heuristic")
+    """Edges of Python imports. Absolute ones: the module of that name, else a name below a package folder or the repo's root;
+    `from a import b` tries a.b, then a. Relative ones start at the file's own module name, less one part a dot. What nothing
+    answers is the external package (of relative imports the own one), which is only a guess."""
+    empty = F.array().cast("array<string>")
+    own = python_modules(repo_paths.select("repo", "path").unionByName(imports.select("repo", "path"))).withColumnRenamed("module", "own")
+    imports = imports.join(own, ["repo", "path"], "left").withColumn("own", F.coalesce("own", P.stem(F.col("path"))))
+    parts, relative = F.split("own", r"\."), F.col("rel_dots") > 0
+    up = F.size(parts) - F.col("rel_dots")
+    base = F.when(relative & (up > 0), F.array_join(F.slice(parts, 1, F.greatest(up, F.lit(1))), ".")).when(~relative, F.lit(""))
+    module = F.concat_ws(".", some(base), some(F.col("module")))
+    full = F.when(F.col("name").isNotNull() & ~F.col("star"), F.concat_ws(".", some(module), "name"))
+    keys = F.array_compact(F.array(
+        F.when(~relative & ~F.col("star"), F.concat(F.lit("map:"), F.coalesce(full, module))),
+        F.concat(F.lit("mod:"), full), F.when(module != "", F.concat(F.lit("mod:"), module)),
+    ))
+    outside = F.concat(F.lit("pip:"), F.substring_index(F.when(relative, F.col("own")).otherwise(F.coalesce(some(F.col("module")), F.col("name"))), ".", 1))
+    return _edges(_resolve(imports, F.when(base.isNull(), empty).otherwise(keys), module_lookup(repo_paths)), outside, "heuristic")
 
 
 def resolve_go(imports: DataFrame, files: DataFrame, modules: DataFrame) -> DataFrame:
@@ -57,19 +71,39 @@ def resolve_go(imports: DataFrame, files: DataFrame, modules: DataFrame) -> Data
     return _edges(known.join(there, ["repo", "dir"], "left"), P.external_id("go", F.col("spec")))
 
 
-def resolve_fqn(imports: DataFrame, names: DataFrame, lang: str = "java") -> DataFrame:
-    """Edges of exact Java or Kotlin imports by the map (repo, fqn, path); a static import drops its member."""
-    exact = imports.where("kind = 'import'").withColumn("fqn", F.when(F.col("is_static"), F.regexp_replace("spec", r"\.[^.]*$", "")).otherwise(F.col("spec")))
-    found = exact.join(names.select("repo", "fqn", F.col("path").alias("hit")), ["repo", "fqn"], "left")
-    return _edges(found, P.external_id(lang, F.col("spec")))
+def resolve_fqn(imports: DataFrame, names: DataFrame, lang: str = "java", repo_paths: DataFrame | None = None) -> DataFrame:
+    """Edges of exact Java or Kotlin imports by the map names(repo, fqn, path), of several paths the last; a static import drops
+    its member. Kotlin's, where repo_paths are given, also try the file of that name below the usual folders."""
+    exact = imports.where("kind <> 'import_wildcard'").withColumn("fqn", F.when(F.col("is_static"), F.regexp_replace("spec", r"\.[^.]*$", "")).otherwise(F.col("spec")))
+    last = names.where("fqn is not null").groupBy("repo", "fqn").agg(F.max("path").alias("hit"))
+    found = exact.join(last, ["repo", "fqn"], "left")
+    if lang == "kt" and repo_paths is not None:
+        file = F.concat(F.replace("fqn", F.lit("."), F.lit("/")), F.lit(".kt"))
+        tries = F.array(*[F.concat(F.lit(f"{root}/" if root else ""), file) for root in KOTLIN_ROOTS])
+        beside = _resolve(found.withColumnRenamed("hit", "named"), F.when(F.col("named").isNull(), tries).otherwise(F.array().cast("array<string>")), repo_paths)
+        found = beside.withColumn("hit", F.coalesce("named", "hit")).drop("named")
+    return _edges(found, P.external_id(lang, F.col("fqn")))
 
 
 def resolve_wildcard(imports: DataFrame, names: DataFrame, lang: str = "java") -> DataFrame:
-    """Edges of `a.b.*`: every name below the prefix. Each name's own prefixes are exploded, so the join is by equality."""
+    """Edges of `a.b.*`: every name below the prefix. Each name's own prefixes are exploded, so the join is by equality. Kotlin's
+    also lead to what has exactly that name or package and, where none of these is there, to the files of the package's folder.
+    """
     parts = F.split("fqn", r"\.")
-    prefixes = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda n: F.array_join(F.slice(parts, 1, n), "."))
-    below = names.select("repo", F.explode(prefixes).alias("spec"), F.col("path").alias("hit"))
-    return _edges(imports.where("kind = 'import_wildcard'").join(below, ["repo", "spec"], "left"), P.external_id(lang, F.col("spec")))
+    lengths = F.sequence(F.lit(1), F.greatest(F.size(parts) - (0 if lang == "kt" else 1), F.lit(1)))
+    prefixes = F.transform(lengths, lambda n: F.array_join(F.slice(parts, 1, n), "."))
+    below = names.where("fqn is not null").select("repo", F.explode(prefixes).alias("spec"), F.col("path").alias("hit"))
+    wild = imports.where("kind = 'import_wildcard'")
+    if lang != "kt":
+        return _edges(wild.join(below, ["repo", "spec"], "left"), P.external_id(lang, F.col("spec")))
+    if "package" in names.columns:
+        below = below.unionByName(names.where("package is not null").select("repo", F.col("package").alias("spec"), F.col("path").alias("hit"))).distinct()
+    folders = names.select("repo", P.dirname(F.col("path")).alias("path")).distinct()
+    file = F.replace("spec", F.lit("."), F.lit("/"))
+    missed = wild.select("repo", "spec").distinct().join(below.select("repo", "spec").distinct(), ["repo", "spec"], "left_anti").select("repo", "spec")
+    there = _resolve(missed, F.array(*[F.concat(F.lit(f"{root}/" if root else ""), file) for root in KOTLIN_ROOTS]), folders).where("hit is not null")
+    inside = there.join(names.select("repo", P.dirname(F.col("path")).alias("hit"), "path"), ["repo", "hit"]).select("repo", "spec", F.col("path").alias("hit"))
+    return _edges(wild.join(below.unionByName(inside), ["repo", "spec"], "left"), P.external_id(lang, F.col("spec")))
 
 
 def resolve_rust(imports: DataFrame, repo_paths: DataFrame, dependencies: DataFrame) -> DataFrame:
@@ -104,13 +138,18 @@ def resolve_csharp(imports: DataFrame, anchors: DataFrame, repo_paths: DataFrame
     return plain.unionByName(_edges(static, P.external_id("cs", F.col("spec"), is_type=True)))
 
 
-def resolve_dart(imports: DataFrame, repo_paths: DataFrame, package: str) -> DataFrame:
-    """Edges of Dart directives: relative, or `package:` of the own package, to files; else external."""
-    own = F.col("spec").startswith(f"package:{package}/")
+def resolve_dart(imports: DataFrame, repo_paths: DataFrame, package: str | DataFrame) -> DataFrame:
+    """Edges of Dart directives: relative, or `package:` of the repo's own package, to files; else external. package is one name
+    or packages(repo, package). `part` also gives an edge back, `part-of`; `part of` directives give none of their own."""
+    imports = imports.where("kind <> 'part_of'")
+    named = imports.withColumn("package", F.lit(package)) if isinstance(package, str) else imports.join(package.groupBy("repo").agg(F.min("package").alias("package")), "repo", "left")
+    own = F.coalesce(F.col("spec").startswith(F.concat(F.lit("package:"), "package", F.lit("/"))), F.lit(False))
     relative = ~F.col("spec").contains(":")
     base = P.normalize_path(F.concat_ws("/", some(P.dirname(F.col("path"))), "spec"))
-    tries = F.when(own, F.array(F.concat(F.lit("lib/"), F.substring("spec", len(package) + 10, 1 << 30)))).when(relative, F.array(base)).otherwise(F.array().cast("array<string>"))
-    return _edges(_resolve(imports, tries, repo_paths), P.external_id("dart", F.col("spec")))
+    tries = F.when(own, F.array(F.concat(F.lit("lib/"), F.regexp_extract("spec", "^package:[^/]*/(.*)$", 1)))).when(relative, F.array(base)).otherwise(F.array().cast("array<string>"))
+    edges = _edges(_resolve(named, tries, repo_paths), P.external_id("dart", F.col("spec")))
+    back = edges.where("kind = 'part' and internal").withColumns({"source": F.col("target"), "target": F.col("source"), "kind": F.lit("part-of")})
+    return edges.unionByName(back.select(edges.columns))
 
 
 def entry_files(entries: DataFrame, modules: DataFrame) -> DataFrame:

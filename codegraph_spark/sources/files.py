@@ -25,9 +25,14 @@ def filter_sources(files: DataFrame, lang: str) -> DataFrame:
     return files.where(wanted(F.col("path"), lang)).withColumn("lang", F.lit(lang))
 
 
+def _file_path() -> Column:
+    """The file's path as it is named; the metadata column has it percent-encoded, in which a plus stands for itself."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
 def read_sources(spark: SparkSession, root: str, lang: str, repo: str = "repo") -> DataFrame:
     """(repo, path, lang, content) of every source below root, found recursively; paths are relative to root."""
-    path = F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/")
+    path = F.regexp_replace(_file_path(), "^file:/+", "/")
     raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"*{{{','.join(P.SOURCE_EXTENSIONS[lang])}}}").text(root, wholetext=True)
     below = "/" + root.removeprefix("file:").strip("/") + "/"
     rows = raw.select(F.lit(repo).alias("repo"), F.when(path.startswith(below), F.substring(path, len(below) + 1, 1 << 30)).otherwise(path).alias("path"), F.col("value").alias("content"))
@@ -40,14 +45,13 @@ def read_graph_fragments(spark: SparkSession, path: str, repo: str = "repo") ->
     seq is a hash-free order key (the file's name), so reading needs no global sort.
     """
     raw = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
-    rows = raw.select(F.lit(repo).alias("repo"), F.col("_metadata.file_path").alias("seq"), F.try_parse_json("value").alias("doc"))
+    rows = raw.select(F.lit(repo).alias("repo"), _file_path().alias("seq"), F.try_parse_json("value").alias("doc"))
     return rows.where("doc is not null")
 
 
 def fragment_nodes(fragments: DataFrame) -> DataFrame:
     """(repo, seq, id, type, state, sizeLOC) of the nodes in graph documents; ids are canonical, nodes without one go."""
-    fragments.createOrReplaceTempView("__cg_fragments")
-    rows = fragments.sparkSession.sql("SELECT repo, seq, n.value AS node FROM __cg_fragments, LATERAL variant_explode(try_variant_get(doc, '$.nodes', 'variant')) AS n")
+    rows = fragments.sparkSession.sql("SELECT repo, seq, n.value AS node FROM {docs}, LATERAL variant_explode(try_variant_get(doc, '$.nodes', 'variant')) AS n", docs=fragments)
     get = lambda k, t: F.try_variant_get("node", f"$.{k}", t)
     out = rows.select("repo", "seq", P.canonical_path(F.coalesce(get("id", "string"), get("path", "string"))).alias("id"), get("type", "string").alias("type"), get("state", "string").alias("state"), get("sizeLOC", "int").alias("sizeLOC"))
     return out.where("id is not null")

@@ -25,7 +25,7 @@ def test_python(spark):
     text = "import os, a.b as c\nfrom .m import (x as y,\n  z)\nfrom ..up import *\n'''\nimport no\n'''\n"
     got = I.py_imports(_src(spark, ("p/q/f.py", text)))
     assert _pairs(got, "line", "kind", "module") == [(1, "import", "a.b"), (1, "import", "os"), (2, "from_relative", "m"), (2, "from_relative", "m"), (4, "import_star", "up")]
-    have = spark.createDataFrame([("r", p) for p in ("a/b.py", "p/q/m.py", "p/q/m/z.py", "p/up/__init__.py")], "repo string, path string")
+    have = spark.createDataFrame([("r", p) for p in ("a/b.py", "p/__init__.py", "p/q/__init__.py", "p/q/f.py", "p/q/m.py", "p/q/m/z.py", "p/up/__init__.py")], "repo string, path string")
     assert _pairs(X.resolve_python(got, have), "target", "certainty") == [("a/b.py", "static"), ("p/q/m.py", "static"), ("p/q/m/z.py", "static"), ("p/up/__init__.py", "static"), ("pip:os", "heuristic")]
 
 
@@ -47,7 +47,7 @@ def test_rust_csharp_dart(spark):
     assert _pairs(got, "kind", "spec") == [("using", "Q.R"), ("using", "System.IO"), ("using_static", "A.B")]
     got = I.dart_imports(_src(spark, ("lib/m.dart", "import 'package:own/x.dart' deferred as x;\npart 'y.dart';\nimport 'dart:io';\n")))
     have = spark.createDataFrame([("r", "lib/x.dart"), ("r", "lib/y.dart")], "repo string, path string")
-    assert _pairs(X.resolve_dart(got, have, "own"), "target") == [("dart:io",), ("lib/x.dart",), ("lib/y.dart",)]
+    assert _pairs(X.resolve_dart(got, have, "own"), "target") == [("dart:io",), ("lib/m.dart",), ("lib/x.dart",), ("lib/y.dart",)]
 
 
 def test_sources(spark, tmp_path):
