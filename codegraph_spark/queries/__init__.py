@@ -1,6 +1,7 @@
-"""Registered queries of the reference's own operators on tables derived from the driver's."""
+"""Registered queries over the operators of this library."""
 
-from . import documents, graphs, imports, texts
+from . import crawls, documents, graphs, imports, texts
 
-QUERIES = graphs.QUERIES | texts.QUERIES | imports.QUERIES | documents.QUERIES
-ORACLES = graphs.ORACLES | texts.ORACLES | imports.ORACLES | documents.ORACLES
+_PARTS = (graphs, texts, imports, documents, crawls)
+QUERIES = {name: q for part in _PARTS for name, q in part.QUERIES.items()}
+ORACLES = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}

@@ -145,11 +145,14 @@ def first_hit(spark, d):
     return R.first_hit(frame(spark, d, OUTSIDE).withColumn("rank", F.expr("ord * 100000 + CAST(substr(target, 6) AS BIGINT)")), ["repo", "source"])
 
 
-_ANCHOR = "files AS (SELECT repo, id AS path, namespace FROM nodes), a AS (SELECT repo, namespace, min(path) AS anchor FROM files GROUP BY ALL)"
+_ANCHOR = """files AS (SELECT repo, id AS path, CAST(regexp_extract(id, 'p([0-9]+)', 1) AS BIGINT) AS k, 'Shop.P' || CAST(k - k % 10 AS VARCHAR) AS namespace FROM nodes),
+    a AS (SELECT repo, namespace, coalesce(min(path) FILTER (k % 10 = 0), min(path)) AS anchor FROM files GROUP BY ALL)"""
 
 
 def _anchored(spark, d):
-    return nodes(spark, d).select("repo", F.col("id").alias("path"), "namespace")
+    """Ten files a namespace, which is named after the first of them."""
+    k = F.regexp_extract("id", r"p(\d+)", 1).cast("long")
+    return nodes(spark, d).select("repo", F.col("id").alias("path"), F.concat(F.lit("Shop.P"), k - k % 10).alias("namespace"))
 
 
 @query(_ANCHOR + "=>SELECT * FROM a")
@@ -195,15 +198,26 @@ def search_nodes(spark, d):
     return R.search_nodes(nodes(spark, d), "P1")
 
 
-@query("roots AS (SELECT repo, id FROM deg WHERE inDeg = 0)=>SELECT DISTINCT repo, id FROM entries")
+#: Repos 0 to 2 name entries, 3 to 5 only have files that nothing points to, 6 and 7 have neither.
+_SOME = ("repo < 'repo3'", "repo >= 'repo6'")
+
+
+@query(f"""d AS (SELECT * FROM deg WHERE repo < 'repo6' OR inDeg > 0)=>SELECT DISTINCT repo, id FROM entries WHERE {_SOME[0]}
+    UNION SELECT repo, id FROM d WHERE NOT {_SOME[0]} AND repo < 'repo6' AND inDeg = 0 UNION SELECT repo, id FROM d WHERE repo >= 'repo6'""")
 def entries_with_fallback(spark, d):
-    return G.entries_with_fallback(entries(spark, d), R.degrees(nodes(spark, d), edges(spark, d)))
+    """Each of the three ways: named entries, files nothing points to, all files."""
+    files = R.degrees(nodes(spark, d), edges(spark, d)).where("repo < 'repo6' or inDeg > 0")
+    return G.entries_with_fallback(entries(spark, d).where(_SOME[0]), files)
 
 
-@query("SELECT DISTINCT repo, id FROM nodes WHERE is_entry")
+@query("""n AS (SELECT *, repo IN ('repo2', 'repo3') AND is_entry AS flag FROM deg WHERE repo < 'repo6' OR outDeg = 0)=>SELECT repo, id FROM deg WHERE repo < 'repo2' AND sizeLOC = 3
+    UNION SELECT repo, id FROM n WHERE flag UNION SELECT repo, id FROM n WHERE repo IN ('repo4', 'repo5') AND inDeg = 0 AND outDeg > 0
+    UNION SELECT repo, min(id) FROM n WHERE repo >= 'repo6' GROUP BY repo""")
 def normalize_entrypoints(spark, d):
-    n = R.degrees(nodes(spark, d), edges(spark, d))
-    return G.normalize_entrypoints(n.where(F.lit(False)).select("repo", "id"), n)
+    """Each of the four ways: listed ids, flagged nodes, roots with edges, the first node."""
+    all_nodes = R.degrees(nodes(spark, d), edges(spark, d))
+    n = all_nodes.where("repo < 'repo6' or outDeg = 0").withColumn("is_entry", F.col("is_entry") & F.col("repo").isin("repo2", "repo3"))
+    return G.normalize_entrypoints(all_nodes.where("repo < 'repo2' and sizeLOC = 3").select("repo", "id"), n)
 
 
 _DYN, _PH = "contains(lower(kind), 'dynamic')", "CASE WHEN phase = 'codegen' THEN 'build' ELSE phase END"
@@ -297,6 +311,11 @@ def infer_usage_states(spark, d):
     return G.infer_usage_states(n, edges(spark, d)).select("repo", "id", "state")
 
 
-@query("SELECT DISTINCT repo, id AS target FROM reached JOIN nodes USING (repo, id)")
+@query("""lv AS (SELECT DISTINCT repo, id, 0 AS d FROM entries UNION SELECT e.repo, e.target, l.d + 1 FROM lv l JOIN edges e ON e.repo = l.repo AND e.source = l.id WHERE l.d < 100),
+    dist AS (SELECT repo, id, min(d) AS d FROM lv GROUP BY ALL),
+    par AS (SELECT e.repo, e.target AS id, min(e.source) AS parent FROM edges e JOIN dist a ON a.repo = e.repo AND a.id = e.source JOIN dist b ON b.repo = e.repo AND b.id = e.target WHERE b.d = a.d + 1 GROUP BY ALL),
+    up AS (SELECT repo, id AS target, id AS head, id AS path FROM dist SEMI JOIN nodes USING (repo, id) UNION ALL SELECT u.repo, u.target, p.parent, p.parent || '>' || u.path FROM up u JOIN par p ON p.repo = u.repo AND p.id = u.head)
+    =>SELECT up.repo, target, path FROM up JOIN dist ON dist.repo = up.repo AND dist.id = up.head WHERE dist.d = 0""")
 def explain_path(spark, d):
-    return G.explain_path(edges(spark, d), entries(spark, d), nodes(spark, d)).select("repo", "target")
+    """The whole path to every node that can be reached, ties by the smaller parent."""
+    return G.explain_path(edges(spark, d), entries(spark, d), nodes(spark, d)).select("repo", "target", F.array_join("path", ">").alias("path"))

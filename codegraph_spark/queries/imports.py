@@ -47,20 +47,28 @@ def py_imports(spark, d):
 
 def _resolved(ext: str, hit: str, miss: str, certainty: str) -> str:
     return f"""SELECT d.source AS repo, 'src/f' || CAST(d.doc_id AS STRING) || '{ext}' AS source,
-        CASE WHEN n.doc_id IS NULL THEN '{miss}' || CAST(d.doc_id + 1 AS STRING) ELSE '{hit}' || CAST(n.doc_id AS STRING) || '{ext}' END AS target,
+        CASE WHEN n.doc_id IS NULL THEN {miss} ELSE '{hit}' || CAST(n.doc_id AS STRING) || '{ext}' END AS target,
         {certainty} AS certainty FROM documents d LEFT JOIN documents n ON n.doc_id = d.doc_id + 1 AND n.source IS NOT DISTINCT FROM d.source"""
 
 
-@query(_resolved(".js", "src/f", "./f", "'static'"))
+@query(_resolved(".js", "src/f", "'./f' || CAST(d.doc_id + 1 AS STRING)", "'static'"))
 def resolve_js(spark, d):
     src = frame(spark, d, JS)
     return X.resolve_js(I.js_imports(src), src).select("repo", "source", "target", "certainty")
 
 
-@query(_resolved(".py", "src/f", "pip:f", "CASE WHEN n.doc_id IS NULL THEN 'heuristic' ELSE 'static' END"))
+@query(_resolved(".py", "src/f", "'pip:src'", "CASE WHEN n.doc_id IS NULL THEN 'heuristic' ELSE 'static' END"))
 def resolve_python(spark, d):
     src = frame(spark, d, PY)
-    return X.resolve_python(I.py_imports(src), src).select("repo", "source", "target", "certainty")
+    packages = src.select("repo").distinct().selectExpr("repo", "'src/__init__.py' AS path")
+    return X.resolve_python(I.py_imports(src), src.select("repo", "path").union(packages)).select("repo", "source", "target", "certainty")
+
+
+@query("SELECT d.source AS repo, 'src/f' || CAST(d.doc_id AS STRING) || '.js' AS path, './f' || CAST(d.doc_id + 1 AS STRING) AS spec FROM documents d WHERE NOT EXISTS (SELECT 1 FROM documents n WHERE n.doc_id = d.doc_id + 1 AND n.source IS NOT DISTINCT FROM d.source)")
+def unresolved_imports(spark, d):
+    src = frame(spark, d, JS)
+    imports = I.js_imports(src)
+    return R.unresolved_imports(imports, X.resolve_js(imports, src)).select("repo", "path", "spec")
 
 
 @query(f"SELECT i.repo, i.path AS source, coalesce(n.path, 'mvn:' || regexp_extract(i.spec, '^[^.]*[.][^.]*')) AS target, i.kind FROM ({EXACT}) i LEFT JOIN ({NAMES}) n ON i.repo = n.repo AND i.spec = n.fqn")
