@@ -16,7 +16,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from re import _parser
 
 from .common import arrow_map
 
@@ -45,6 +44,97 @@ EXTRA_RULES = (
 RULES = BASE_RULES + EXTRA_RULES
 
 
+def parse(pattern: str) -> list[tuple]:
+    """A rule's expression as a list of (set, bytes), (branch, lists) and (repeat, (low, high or None, list)).
+
+    Rules are written in characters, classes with ranges, escapes (\\xNN and escaped signs), groups, `|` and greedy `?`, `*`, `+` and
+    `{m,n}`; anything else is an error.
+    """
+    at = 0
+
+    def peek() -> str:
+        return pattern[at] if at < len(pattern) else ""
+
+    def character() -> int:
+        nonlocal at
+        c = pattern[at]
+        at += 1
+        if c == "\\":
+            c = pattern[at]
+            at += 1
+            if c == "x":
+                at += 2
+                return int(pattern[at - 2 : at], 16)
+            if c.isalnum():
+                raise ValueError(f"rule expressions can't use \\{c}")
+        if ord(c) > 127:
+            raise ValueError("rule expressions are ASCII")
+        return ord(c)
+
+    def chosen() -> frozenset[int]:
+        nonlocal at
+        at += 1
+        out: set[int] = set()
+        if peek() == "^":
+            raise ValueError("rule expressions can't use negated classes")
+        while peek() != "]":
+            low = character()
+            if peek() == "-" and pattern[at + 1] != "]":
+                at += 1
+                out |= set(range(low, character() + 1))
+            else:
+                out.add(low)
+        at += 1
+        return frozenset(out)
+
+    def one() -> tuple:
+        nonlocal at
+        if peek() == "[":
+            return "set", chosen()
+        if peek() == "(":
+            at += 3 if pattern.startswith("(?:", at) else 1
+            inner = branches()
+            if peek() != ")":
+                raise ValueError("unclosed group")
+            at += 1
+            return "branch", inner
+        if peek() in "?*+{.^$":
+            raise ValueError(f"rule expressions can't use {peek()} here")
+        return "set", frozenset([character()])
+
+    def sequence() -> list[tuple]:
+        nonlocal at
+        out = []
+        while peek() not in ("", "|", ")"):
+            item = one()
+            if peek() and peek() in "?*+":
+                low, high = {"?": (0, 1), "*": (0, None), "+": (1, None)}[peek()]
+                at += 1
+                item = "repeat", (low, high, [item])
+            elif peek() == "{":
+                end = pattern.index("}", at)
+                low, comma, high = pattern[at + 1 : end].partition(",")
+                at = end + 1
+                item = "repeat", (int(low), int(high) if high else None if comma else int(low), [item])
+            if peek() and peek() in "?*+{":
+                raise ValueError("rule expressions can't use lazy or repeated quantifiers")
+            out.append(item)
+        return out
+
+    def branches() -> list[list[tuple]]:
+        nonlocal at
+        out = [sequence()]
+        while peek() == "|":
+            at += 1
+            out.append(sequence())
+        return out
+
+    tree = [("branch", branches())]
+    if at < len(pattern):
+        raise ValueError("unopened group")
+    return tree
+
+
 class Nfa:
     """Thompson automaton over bytes: eps[s] = states, step[s] = (set of bytes, state)."""
 
@@ -59,44 +149,37 @@ class Nfa:
 
     def add(self, tree, start: int, reverse: bool) -> int:
         """Append what the parsed expression reads behind start; returns the end state."""
-        for op, arg in reversed(list(tree)) if reverse else tree:
-            start = self._one(str(op), arg, start, reverse)
+        for op, arg in reversed(tree) if reverse else tree:
+            start = self._one(op, arg, start, reverse)
         return start
 
     def _one(self, op: str, arg, start: int, reverse: bool) -> int:
-        if op in ("LITERAL", "IN"):
+        if op == "set":
             end, s = self.state(), self.state()
             self.eps[start].append(s)
-            chosen = {arg} if op == "LITERAL" else set()
-            for kind, x in arg if op == "IN" else ():
-                chosen |= {x} if str(kind) == "LITERAL" else set(range(x[0], x[1] + 1))
-            self.step[s] = (frozenset(chosen), end)
+            self.step[s] = (arg, end)
             return end
-        if op == "SUBPATTERN":
-            return self.add(arg[3], start, reverse)
-        if op == "BRANCH":
+        if op == "branch":
             end = self.state()
-            for part in arg[1]:
+            for part in arg:
                 s = self.state()
                 self.eps[start].append(s)
                 self.eps[self.add(part, s, reverse)].append(end)
             return end
-        if op == "MAX_REPEAT":
-            low, high, part = arg
-            for _ in range(low):
-                start = self.add(part, start, reverse)
-            if str(high) == "MAXREPEAT":
-                loop = self.state()
-                self.eps[start].append(loop)
-                self.eps[self.add(part, loop, reverse)].append(loop)
-                return loop
-            end = self.state()
+        low, high, part = arg
+        for _ in range(low):
+            start = self.add(part, start, reverse)
+        if high is None:
+            loop = self.state()
+            self.eps[start].append(loop)
+            self.eps[self.add(part, loop, reverse)].append(loop)
+            return loop
+        end = self.state()
+        self.eps[start].append(end)
+        for _ in range(high - low):
+            start = self.add(part, start, reverse)
             self.eps[start].append(end)
-            for _ in range(high - low):
-                start = self.add(part, start, reverse)
-                self.eps[start].append(end)
-            return end
-        raise ValueError(f"rule expressions can't use {op}")
+        return end
 
     def closure(self, states) -> frozenset[int]:
         seen, todo = set(states), list(states)
@@ -118,7 +201,7 @@ def compile_rules(patterns: tuple[str, ...], restart: bool, reverse: bool = Fals
     for n, p in enumerate(patterns):
         s = nfa.state()
         nfa.eps[root].append(s)
-        ends[nfa.add(_parser.parse(p), s, reverse)] = n
+        ends[nfa.add(parse(p), s, reverse)] = n
     # bytes that every step reads alike have one column until the end
     sets = list({x[0] for x in nfa.step if x})
     classes: dict[tuple[bool, ...], int] = {}
