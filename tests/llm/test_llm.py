@@ -163,6 +163,32 @@ def test_decontamination(spark):
     assert none.agg(F.sum("n_hit")).first()[0] == 0
 
 
+def test_decontamination_against_brute_force(spark):
+    """Few words, so items overlap and hit in many places; null, short and repeated items; null, empty, repeated and long documents."""
+    bench = [(n, " ".join(random.choice("abc") for _ in range(random.choice([3, 14, 15, 20])))) for n in range(12)] + [(30, None), (31, "a b"), (31, "a b"), (None, "c c c"), (32, "")]
+    docs = [(n, " ".join(random.choice("abc,") for _ in range(random.randint(0, 40)))) for n in range(25)] + [(None, "a a b"), (3, "a b"), (3, "a b"), (50, None), (51, " ".join(prose(20_000) + ["a", "b"]))]
+    words = lambda t: [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower()) if w]
+    windows = {}
+    for i, t in bench:
+        w = words(t)
+        for s in range(max(1, len(w) - 12)) if w else ():
+            windows.setdefault(tuple(w[s : s + 13]), set()).add(i)
+    want = []
+    for i, t in docs:
+        w, hit, items = words(t), set(), set()
+        for n in {len(x) for x in windows}:
+            for s in range(len(w) - n + 1):
+                if (found := windows.get(tuple(w[s : s + n]))) is not None:
+                    hit |= set(range(s, s + n))
+                    items |= {str(x) for x in found if x is not None}
+        want.append((i, len(w), len(hit), sorted(items), bool(hit) and 20 * len(hit) >= len(w)))
+    frame = spark.createDataFrame(docs, "doc_id long, text string").withColumns({"w": F.lit(1), "seqs": F.lit("x"), "item": F.lit(2)})
+    items = spark.createDataFrame(bench, "item_id long, text string").withColumn("seq", F.lit(1))
+    got = [(r["doc_id"], r["n_words"], r["n_hit"], r["items"], r["contaminated"]) for r in decontaminate.contamination(frame, items).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert decontaminate.contamination(frame.limit(0), items).count() == 0
+
+
 def brute_secrets(t):
     out = [(m.start(), 0, m.end()) for m in re.finditer(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t) if len(m[2]) >= 6]
     out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
@@ -181,6 +207,30 @@ def test_secrets_against_regex(spark):
     assert secrets.redact_secrets(table(spark, ["é password=abcdefg1 x", None])).collect()[0]["text"] == "é [assign] x"
 
 
+def test_secret_rule_expressions():
+    rules = ("a{2}b?|[c-e]+x", r"(?:ab|c){1,3}\x20*d", r"\.[a-c.\]-]*")
+    table, accept = secrets.compile_rules(rules, restart=False)
+    for _ in range(3000):
+        t = "".join(random.choice("abcdex .]-") for _ in range(random.randint(0, 7)))
+        state = 0
+        for c in t.encode():
+            state = table[state][c] if state >= 0 else -1
+        found = int(accept[state]) if state >= 0 else 0
+        assert found == sum(1 << n for n, r in enumerate(rules) if re.fullmatch(r, t)), t
+    for bad in ("a.b", "[^a]", "a*?", r"\d", "(a", "a)", "é", "*a"):
+        with pytest.raises((ValueError, IndexError)):
+            secrets.parse(bad)
+
+
+def test_secrets_on_a_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    names = ("assign", "access", "hex")
+    for r in secrets.digests(secrets.scan_secrets(docs)).collect():
+        spans = brute_secrets(texts[r["doc_id"]])
+        assert r["base_sha256"] == hashlib.sha256(",".join(f"{names[n]}:{s}:{e}" for s, n, e in spans).encode()).hexdigest()
+
+
 def test_bpe_is_tiktoken(spark):
     public = pytest.importorskip("public_tokenizers")
     import tiktoken
@@ -254,6 +304,15 @@ def test_chat_round_trip(spark):
     assert chat.format_chats(turns.limit(0)).count() == 0
 
 
+def test_chat_repeated_rows_and_long_conversations(spark):
+    rows = [(1, 0, "user", "a<b"), (1, 0, "user", "a<b")] + [(2, n, ("user", "assistant")[n % 2], f"turn [{n}]") for n in range(9000)] + [(3, 0, "user", "x\\\\" * 50_000)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"loss": F.lit("x"), "id": F.lit(1)})
+    out = {r["conv_id"]: r for r in chat.format_chats(turns).collect()}
+    assert chat.read_back(out[1]["formatted"]) == [("user", "a<b")] * 2
+    assert chat.read_back(out[2]["formatted"]) == [(r, t) for c, _, r, t in rows if c == 2] and len(out[2]["loss"]) == 4500
+    assert chat.read_back(out[3]["formatted"]) == [("user", rows[-1][3])]
+
+
 def test_topk_brute_force(spark):
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(300)] + [(1000, None), (1001, [1.0, None]), (1002, [float("nan")] * 8), (400, [0.5] * 8), (401, [0.5] * 8)]
