@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
+from ..operators.documents import adapt_report
 
 #: Folders that hold no sources of a project.
 IGNORED_FOLDERS = {"js": ("node_modules", "dist", "build", ".git", "coverage", ".next", "out", ".turbo", ".vite", ".parcel-cache")}
@@ -40,13 +43,15 @@ def read_sources(spark: SparkSession, root: str, lang: str, repo: str = "repo")
 
 
 def read_graph_fragments(spark: SparkSession, path: str, repo: str = "repo") -> DataFrame:
-    """(repo, seq, doc): one row per JSON document in the order of file names; documents that don't parse are skipped.
+    """(repo, seq, doc): one row per JSON document in the order of file names; documents that don't parse are skipped, reports of
+    findings and exports are read as graph documents.
 
     seq is a hash-free order key (the file's name), so reading needs no global sort.
     """
     raw = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
     rows = raw.select(F.lit(repo).alias("repo"), _file_path().alias("seq"), F.try_parse_json("value").alias("doc"))
-    return rows.where("doc is not null")
+    name = F.substring_index("seq", "/", -1)
+    return rows.where("doc is not null").withColumn("doc", adapt_report(F.col("doc"), name))
 
 
 def fragment_nodes(fragments: DataFrame) -> DataFrame:
@@ -63,6 +68,44 @@ def write_graph(nodes: DataFrame, edges: DataFrame, path: str, buckets: int = 64
         df.withColumn("bucket", F.pmod(F.xxhash64("repo"), F.lit(buckets))).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{name}")
 
 
+def graph_documents(sections: dict[str, DataFrame], rows: int = 10_000) -> DataFrame:
+    """(repo, body): graph documents as JSON texts, each with a part of one section; together they are the repo's graph.
+
+    Sections are lists of rows (repo, ...), but securityFindings (repo, path, ...) lists them by path, and exports (repo, path, grp,
+    name) by path and group. A document holds about `rows` rows, so a large repo has many and none is collected whole. Empty
+    sections give no document.
+    """
+
+    def one(name: str, df: DataFrame) -> DataFrame:
+        cols = [c for c in df.columns if c != "repo"]
+        if name == "exports":
+            groups = df.groupBy("repo", "path", "grp").agg(F.array_sort(F.collect_set("name")).alias("names"))
+            df = groups.groupBy("repo", "path").agg(F.map_from_entries(F.collect_list(F.struct("grp", "names"))).alias("x"))
+        elif name == "securityFindings":
+            df = df.groupBy("repo", "path").agg(F.collect_list(F.struct(*[c for c in cols if c != "path"])).alias("x"))
+        else:
+            df = df.select("repo", F.struct(*cols).alias("x"))
+        mapped = "path" in df.columns
+        parts = df.groupBy("repo").agg(F.ceil(F.count("*") / rows).alias("parts"))
+        dealt = df.join(parts, "repo").withColumn("part", F.pmod(F.xxhash64("path") if mapped else F.xxhash64(F.to_json("x")), F.col("parts")))
+        held = F.map_from_entries(F.collect_list(F.struct("path", "x"))) if mapped else F.collect_list("x")
+        return dealt.groupBy("repo", "part").agg(held.alias(name)).select("repo", F.to_json(F.struct("repo", name)).alias("body"))
+
+    return reduce(DataFrame.union, [one(name, df) for name, df in sections.items()])
+
+
+def write_graph_documents(sections: dict[str, DataFrame], path: str, buckets: int = 64) -> None:
+    """graph_documents below path, one to a line, in folders by a hash of the repo."""
+    docs = graph_documents(sections).withColumn("bucket", F.pmod(F.xxhash64("repo"), F.lit(buckets)))
+    docs.select("body", "bucket").write.mode("overwrite").partitionBy("bucket").text(path)
+
+
+def read_graph_documents(spark: SparkSession, path: str) -> DataFrame:
+    """(repo, seq, doc) of what write_graph_documents wrote; the order of parts means nothing."""
+    rows = spark.read.text(path).select(F.try_parse_json("value").alias("doc"), F.xxhash64("value").alias("seq")).where("doc is not null")
+    return rows.select(F.try_variant_get("doc", "$.repo", "string").alias("repo"), "seq", "doc")
+
+
 def write_sbom_csv(nodes: DataFrame, path: str) -> None:
     """id, state, type, package, LOC and degree of every node given (filter beforehand) as CSV with a header."""
     degree = F.coalesce("inDeg", F.lit(0)) + F.coalesce("outDeg", F.lit(0))

@@ -164,3 +164,27 @@ def test_classify_by_profiles_evidence_and_places(spark):
     assert {r["id"]: r["state"] for r in rows} == {**dict.fromkeys("abcdef", "used"), "g": "unused"}
     extra = D.collect_edges(documents(spark, {"edges": [{"source": "a", "target": "b", "weight": 2, "note": "n"}]})).first()["extra"]
     assert json.loads(extra) == {"note": "n", "weight": 2}
+
+
+def test_graph_documents_round_trip(spark, tmp_path):
+    nodes = spark.createDataFrame([("r", f"n{i}", "file", "used", i) for i in range(25)] + [("s", "m", "file", "unused", 1)], "repo string, id string, type string, state string, sizeLOC int")
+    edges = spark.createDataFrame([("r", "n1", "n2", "import")], "repo string, source string, target string, kind string")
+    findings = spark.createDataFrame([("r", "n1", "x", "high"), ("r", "n1", "y", "low")], "repo string, path string, id string, severity string")
+    exports = spark.createDataFrame([("r", "n2", "named", "b"), ("r", "n2", "named", "a"), ("r", "n2", "types", "T")], "repo string, path string, grp string, name string")
+    sections = {"nodes": nodes, "edges": edges, "securityFindings": findings, "exports": exports, "entrypoints": nodes.where("id = 'm'").select("repo", "id"), "packageRisks": nodes.limit(0)}
+    assert S.graph_documents(sections, rows=10).where("repo = 'r'").count() >= 5
+    S.write_graph_documents(sections, str(tmp_path / "out"))
+    docs = S.read_graph_documents(spark, str(tmp_path / "out"))
+    assert {tuple(r) for r in D.merge_nodes(D.node_rows(docs)).select("repo", "id", "type", "state", "sizeLOC").collect()} == {tuple(r) for r in nodes.collect()}
+    assert [(r["source"], r["target"], r["kind"]) for r in D.collect_edges(docs).collect()] == [("n1", "n2", "import")]
+    assert {(r["path"], r["id"], r["severityNormalized"]) for r in D.ingest_findings(docs).collect()} == {("n1", "x", "high"), ("n1", "y", "low")}
+    assert {(r["grp"], tuple(r["items"])) for r in D.ingest_exports(docs).collect()} == {("named", ("a", "b")), ("types", ("T",))}
+    assert [tuple(r) for r in D.merge_entrypoints(docs).collect()] == [("s", "m")]
+
+
+def test_reports_are_graph_documents(spark, tmp_path):
+    (tmp_path / "dartSecurity.json").write_text(json.dumps({"findings": [{"file": "a.dart", "id": "x"}], "summary": {"total": 1}}))
+    (tmp_path / "dartExports.json").write_text(json.dumps({"a.dart": {"classes": ["W"]}}))
+    docs = S.read_graph_fragments(spark, str(tmp_path))
+    assert [(r["path"], r["id"]) for r in D.ingest_findings(docs).collect()] == [("a.dart", "x")]
+    assert [(r["path"], r["grp"], r["items"]) for r in D.ingest_exports(docs).collect()] == [("a.dart", "classes", ["W"])]
