@@ -18,7 +18,7 @@ STATUS_ORDER = ("reachable_current", "deferred_only", "dynamic_only", "test_only
 HOPS, DELTAS = 6, 8
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
     """checkpoint() into the shared folder of spark.checkpoint.dir; a private one only where none is named and all runs here."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
@@ -42,8 +42,8 @@ def walk(edges: DataFrame, seeds: DataFrame, keys=("repo",), mask: bool = False)
     """
     by, one = [*keys, "id"], F.lit(1)
     bits = F.col("mask") if mask else one
-    out = _cut(edges.select(*keys, F.col("source").alias("id"), F.col("target").alias("to"), bits.alias("edge_mask")).where("id is not null and `to` is not null").groupBy(*by, "to").agg(F.bit_or("edge_mask").alias("edge_mask")))
-    frontier = _cut(seeds.select(*by, bits.alias("mask")).where("id is not null").groupBy(*by).agg(F.bit_or("mask").alias("mask")))
+    out = cut(edges.select(*keys, F.col("source").alias("id"), F.col("target").alias("to"), bits.alias("edge_mask")).where("id is not null and `to` is not null").groupBy(*by, "to").agg(F.bit_or("edge_mask").alias("edge_mask")))
+    frontier = cut(seeds.select(*by, bits.alias("mask")).where("id is not null").groupBy(*by).agg(F.bit_or("mask").alias("mask")))
     seen = [frontier]
     while not frontier.isEmpty():
         steps, at = [], frontier
@@ -57,11 +57,11 @@ def walk(edges: DataFrame, seeds: DataFrame, keys=("repo",), mask: bool = False)
             old = old.groupBy(*by).agg(F.bit_or("mask").alias("mask"))
         new = F.col("found").bitwiseAND(F.bitwise_not(F.coalesce("mask", F.lit(0))))
         fresh = found.join(old, by, "left").select(*by, new.alias("mask"), new.bitwiseAND(F.bitwise_not("early")).alias("last")).where("mask <> 0")
-        fresh = _cut(fresh)
+        fresh = cut(fresh)
         frontier = fresh.where("last <> 0").select(*by, F.col("last").alias("mask"))
         seen.append(fresh.select(*by, "mask"))
         if len(seen) > DELTAS:
-            seen = [_cut(_union(seen).groupBy(*by).agg(F.bit_or("mask").alias("mask")))]
+            seen = [cut(_union(seen).groupBy(*by).agg(F.bit_or("mask").alias("mask")))]
     done = _union(seen)
     return done.groupBy(*by).agg(F.bit_or("mask").alias("mask")) if mask else done.select(*by)
 
@@ -174,8 +174,8 @@ def explain_path(edges: DataFrame, entries: DataFrame, targets: DataFrame) -> Da
     Both the search and the way back take HOPS steps a round; visited nodes are kept as in walk().
     """
     by = ["repo", "id"]
-    out = _cut(edges.select("repo", F.col("source").alias("id"), F.col("target").alias("to")).distinct())
-    frontier, depth = _cut(entries.select("repo", "id", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent")).where("id is not null").distinct()), 0
+    out = cut(edges.select("repo", F.col("source").alias("id"), F.col("target").alias("to")).distinct())
+    frontier, depth = cut(entries.select("repo", "id", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent")).where("id is not null").distinct()), 0
     seen = [frontier]
     while not frontier.isEmpty():
         steps, at = [], frontier
@@ -185,12 +185,12 @@ def explain_path(edges: DataFrame, entries: DataFrame, targets: DataFrame) -> Da
             steps.append(at)
         # the first step that finds a node is its distance, and all its parents there are one step nearer
         first = _union(steps).groupBy(*by).agg(F.min(F.struct("depth", "parent")).alias("x")).select(*by, "x.depth", "x.parent")
-        fresh = _cut(first.join(_union(seen).select(*by), by, "left_anti"))
+        fresh = cut(first.join(_union(seen).select(*by), by, "left_anti"))
         frontier = fresh.where(F.col("depth") == depth)
         seen.append(fresh)
         if len(seen) > DELTAS:
-            seen = [_cut(_union(seen))]
-    known = _cut(_union(seen))
+            seen = [cut(_union(seen))]
+    known = cut(_union(seen))
     parents = known.select("repo", F.col("id").alias("next"), "parent")
     todo = targets.select("repo", F.col("id").alias("target")).distinct().join(known.withColumnRenamed("id", "target"), ["repo", "target"]).select("repo", "target", F.array("target").alias("path"), F.col("parent").alias("next"))
     ready = [todo.where("next is null")]
@@ -199,7 +199,7 @@ def explain_path(edges: DataFrame, entries: DataFrame, targets: DataFrame) -> Da
         for _ in range(HOPS):
             longer = F.when(F.col("next").isNotNull(), F.concat(F.array("next"), "path")).otherwise(F.col("path"))
             todo = todo.join(parents, ["repo", "next"], "left").select("repo", "target", longer.alias("path"), F.col("parent").alias("next"))
-        todo = _cut(todo)
+        todo = cut(todo)
         ready.append(todo.where("next is null"))
         todo = todo.where("next is not null")
     return _union(ready).select("repo", "target", "path")

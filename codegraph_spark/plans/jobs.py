@@ -93,7 +93,7 @@ def crawl_graph(files: DataFrame, repo_paths: DataFrame, lang: str, entries: Dat
         raise ValueError(f"no crawl for {lang!r}; there are {', '.join(LANGUAGES)}")
     if manifests is None:
         manifests = files.select("repo", "path", F.lit(None).cast("string").alias("content")).limit(0)
-    edges = crawl_edges(files, repo_paths, lang, manifests)
+    edges = G.cut(crawl_edges(files, repo_paths, lang, manifests))
     own = files.select("repo", F.col("path").alias("id"), F.lit("file").alias("type"), F.lit(lang).alias("lang"), T.loc(F.col("content")).alias("sizeLOC"))
     active = edges.where("kind = 'side_effect'").select("repo", F.col("source").alias("id"), F.lit(True).alias("hasSideEffects")).distinct()
     own = own.join(active, ["repo", "id"], "left").withColumn("hasSideEffects", F.coalesce("hasSideEffects", F.lit(False)))
@@ -114,8 +114,10 @@ def merge_and_classify(docs: DataFrame, keep_rules=()) -> DataFrame:
     An edge counts in a profile as its profiles, profile, when and flags say. States that no document tells are inferred. n_findings
     and exports: a node's own and those that the documents hold under one of its places.
     """
-    edges = D.collect_edges(docs)
-    nodes = G.infer_usage_states(R.degrees(D.merge_nodes(D.node_rows(docs)), edges), edges)
+    # documents are walked once for edges and once for nodes, however often the job reads these
+    edges = G.cut(D.collect_edges(docs))
+    nodes = G.cut(R.degrees(D.merge_nodes(D.node_rows(docs)), edges))
+    nodes = G.cut(G.infer_usage_states(nodes, edges))
     given = F.coalesce(*[F.try_variant_get("doc", f"$.{k}", "variant") for k in ("profiles", "profile", "targets")], F.parse_json(F.lit("[]")))
     profiles = G.normalize_profiles(docs.select("repo", given.alias("doc")))
     told = profiles.where("name <> 'default'").select("repo", F.lit(True).alias("told")).distinct()
