@@ -35,6 +35,16 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Rows that a task of a small table takes at least.
+TASK_ROWS = 50_000
+
+
+def narrow(df: DataFrame, rows: int) -> DataFrame:
+    """df in as many partitions as its counted rows are worth; a table of many rows keeps its own. Loops over small tables
+    then write few files a round, however many partitions shuffles have."""
+    return df.coalesce(max(1, min(shuffle_partitions(df.sparkSession), -(-rows // TASK_ROWS))))
+
+
 def row_identity(doc: Column, text: Column) -> list[Column]:
     """Two never-null columns that identify a document row, also when ids are null or repeated."""
     return [F.coalesce(doc.cast("long"), F.lit(-(2**63))).alias(ROW_DOC), F.xxhash64(doc, text).alias(ROW_HASH)]
@@ -130,12 +140,15 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
 
     before = mark(e)
     while before[0]:
+        n = before[0]
+        e = narrow(e, n)
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        e = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = e.groupBy("u").agg(F.min("v").alias("m"))
-        e = e.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        e = cut(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
+        low = narrow(both.groupBy("u").agg(F.min("v").alias("m")), n).select("u", F.least("u", "m").alias("m"))
+        e = narrow(both.where("v > u").join(low, "u"), n).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        e = narrow(e.distinct(), n)
+        low = narrow(e.groupBy("u").agg(F.min("v").alias("m")), n)
+        e = narrow(e.join(low, "u"), n).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
+        e = cut(narrow(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), n))
         now = mark(e)
         if now == before:
             break

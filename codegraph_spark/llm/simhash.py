@@ -27,11 +27,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, connected_components, cut, join_hot, shuffle_partitions
+from .common import arrow_map, connected_components, cut, join_hot, narrow, shuffle_partitions
 
 SHINGLE, RADIUS = 4, 4
 #: Values that a bucket holds (about), and fewest buckets.
 BUCKET_VALUES, LEAST_BUCKETS = 1_000_000, 128
+#: Rows of other tables that a fingerprint weighs as much as when its 130 values are emitted.
+VARIANT_ROWS = 20
 _U = np.uint64
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -190,16 +192,19 @@ def near_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
         raise ValueError("a radius of 2 or 4 bits")
     parts = shuffle_partitions(fps.sparkSession)
     fps = cut(fps.where("fp is not null").select("fp").distinct().repartition(parts, "fp"))
-    links = cut(half_links(fps, radius))
+    n = fps.count()
+    links = cut(narrow(half_links(narrow(fps, n), radius), n))
     labels = connected_components(links).select(F.col("node").alias("fp"), "component")
-    named = cut(fps.join(labels, "fp", "left").select("fp", F.coalesce("component", "fp").alias("label")))
+    labelled = narrow(fps, n).join(narrow(labels, n), "fp", "left").select("fp", F.coalesce("component", "fp").alias("label"))
+    named = cut(narrow(labelled, n * VARIANT_ROWS))
 
     def buckets(rows: int, values: int) -> int:
         return max(LEAST_BUCKETS, rows * values // BUCKET_VALUES)
 
-    # by number, so that the balls are emitted by as many tasks as shuffles have
-    open_ = cut(with_possible_partner(named, buckets(named.count(), 44)).repartition(parts, "fp"))
-    return links.union(label_links(open_, radius, buckets(open_.count(), 2081)))
+    open_ = cut(with_possible_partner(named, buckets(n, 44)).repartition(parts, "fp"))
+    n_open = open_.count()
+    # by number, so that the balls are emitted by as many tasks as they are worth
+    return links.union(label_links(narrow(open_, n_open * 5 * VARIANT_ROWS), radius, buckets(n_open, 2081)))
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
