@@ -114,6 +114,21 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, share: int = 1000) ->
     return left.where(named).join(F.broadcast(right.where(named)), key).unionByName(cold)
 
 
+def join_split(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", share: int = 1000) -> DataFrame:
+    """left join right on keys (inner or left), where right has one row a key at most and left is cheap to read again.
+
+    Keys that hold more than one in `share` rows of left are at most `share`: these keys, and their rows of right, are
+    broadcast, so a key of any number of rows is joined where its rows lie; all other keys are joined as usual.
+    """
+    total = left.count()
+    hot = cut(left.groupBy(*keys).agg(F.count("*").alias("__cg_n")).where(F.col("__cg_n") * share > total).select(*keys))
+    if not total or hot.isEmpty():
+        return left.join(right, keys, how)
+    hot = F.broadcast(hot)
+    few = F.broadcast(right.join(hot, keys, "left_semi"))
+    return left.join(hot, keys, "left_semi").join(few, keys, how).unionByName(left.join(hot, keys, "left_anti").join(right, keys, how))
+
+
 def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]]], schema: str) -> DataFrame:
     """mapInArrow with per-task state: make() builds the batch function once a task."""
 

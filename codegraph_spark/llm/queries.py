@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, html, langid, phrases, pii, secrets, simhash, topk
+from . import bpe, chat, decontaminate, html, langid, phrases, pii, secrets, simhash, topk, trie
 
 #: Key of the pseudonyms in op3's query; a user passes a key of their own.
 DEMO_KEY = b"codegraph-spark demonstration key"
@@ -60,7 +60,12 @@ def op10_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.remove_repeated_phrases(_table(spark, sf_dir, "documents"), digest_only=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_topk, op2_chat, op3_pii, op4_simhash, op5_html, op6_secrets, op7_decontaminate, op8_bpe, op9_langid, op10_phrases)}
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    steps = trie.turn_steps(_table(spark, sf_dir, "conversations"))
+    return trie.trie_nodes(*trie.with_shared_openings(*steps))
+
+
+QUERIES = {f.__name__: f for f in (op1_topk, op2_chat, op3_pii, op4_simhash, op5_html, op6_secrets, op7_decontaminate, op8_bpe, op9_langid, op10_phrases, op13_trie)}
 
 ORACLES = {
     "op1_topk": """
