@@ -125,4 +125,32 @@ ORACLES = {
         SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
             sha256(coalesce(t, '')) AS kept_sha256
         FROM d LEFT JOIN kept USING (doc_id)""",
+    "op13_trie": r"""
+        WITH t AS (
+            SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos,
+                coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+        ids AS (
+            SELECT DISTINCT c, c - c % 100 AS first, xor(list_reduce(
+                list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+                lambda s, x: list_reduce([xor(s, x), 0, 0, 0, 0, 0, 0, 0, 0],
+                    lambda y, z: CASE WHEN y % 2 = 1 THEN xor(y // 2, 3988292384) ELSE y // 2 END)), 4294967295) % 6 AS h FROM t),
+        b AS (
+            SELECT ids.c, 0 AS part, t.pos, role, text FROM ids JOIN t ON t.c = ids.first AND t.pos <= h
+            UNION ALL SELECT ids.c, 1, t.pos, role, text FROM ids JOIN t ON t.c = ids.c AND t.pos > h),
+        s AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY part, pos) AS d, sha256(role || chr(0) || text) AS x, length(text) AS k FROM b),
+        l AS (SELECT ids.c, count(d) AS n, coalesce(list(x ORDER BY d) FILTER (d IS NOT NULL), []) AS xs, coalesce(list(k ORDER BY d) FILTER (d IS NOT NULL), []) AS ks
+            FROM ids LEFT JOIN s USING (c) GROUP BY ids.c),
+        m AS (SELECT c, n, d, array_to_string(xs[1:d], ',') AS node, CASE WHEN d > 0 THEN array_to_string(xs[1:d - 1], ',') END AS parent, CASE WHEN d > 0 THEN ks[d] ELSE 0 END AS k
+            FROM (SELECT *, unnest(range(0, n + 1)) AS d FROM l)),
+        nodes AS (
+            SELECT d, node, any_value(parent) AS parent, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(k) AS worth,
+                coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (n = d), '') AS ends, max(n) = d AS leaf FROM m GROUP BY d, node),
+        kids AS (SELECT d - 1 AS d, parent AS node, count(*) AS n FROM nodes WHERE d > 0 GROUP BY 1, 2),
+        below AS (
+            SELECT v.d, v.node, sum(u.worth) AS saved, count(*) FILTER (u.leaf) AS leaves
+            FROM nodes v JOIN nodes u ON u.d >= v.d AND (v.d = 0 OR u.node = v.node OR starts_with(u.node, v.node || ',')) GROUP BY v.d, v.node)
+        SELECT v.conv_id, CAST(v.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, v.n_convs, coalesce(kids.n, 0) AS n_children,
+            CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(v.ends) AS ends_sha256
+        FROM nodes v LEFT JOIN nodes p ON p.d = v.d - 1 AND p.node = v.parent LEFT JOIN kids ON kids.d = v.d AND kids.node = v.node
+            JOIN below ON below.d = v.d AND below.node = v.node""",
 }
