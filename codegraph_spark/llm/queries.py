@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, html, langid, phrases, pii, secrets, simhash, topk, trie
+from . import bpe, chat, decontaminate, html, langid, phrases, pii, quality, secrets, simhash, topk, trie
 
 #: Key of the pseudonyms in op3's query; a user passes a key of their own.
 DEMO_KEY = b"codegraph-spark demonstration key"
@@ -60,12 +60,16 @@ def op10_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.remove_repeated_phrases(_table(spark, sf_dir, "documents"), digest_only=True)
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.rate(_table(spark, sf_dir, "documents"))
+
+
 def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     steps = trie.turn_steps(_table(spark, sf_dir, "conversations"))
     return trie.trie_nodes(*trie.with_shared_openings(*steps))
 
 
-QUERIES = {f.__name__: f for f in (op1_topk, op2_chat, op3_pii, op4_simhash, op5_html, op6_secrets, op7_decontaminate, op8_bpe, op9_langid, op10_phrases, op13_trie)}
+QUERIES = {f.__name__: f for f in (op1_topk, op2_chat, op3_pii, op4_simhash, op5_html, op6_secrets, op7_decontaminate, op8_bpe, op9_langid, op10_phrases, op11_quality, op13_trie)}
 
 ORACLES = {
     "op1_topk": """
@@ -125,6 +129,29 @@ ORACLES = {
         SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
             sha256(coalesce(t, '')) AS kept_sha256
         FROM d LEFT JOIN kept USING (doc_id)""",
+    "op11_quality": r"""
+        WITH t AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text FROM documents),
+        d AS (
+            SELECT doc_id, host, text, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w,
+                list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM t),
+        g AS (SELECT doc_id, s, array_to_string(w[s:s + 2], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS s FROM d WHERE len(w) >= 3)),
+        r AS (SELECT doc_id, g FROM g GROUP BY doc_id, g HAVING count(*) > 1),
+        rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(s, s + 3)) AS p FROM g JOIN r USING (doc_id, g)) GROUP BY doc_id),
+        n AS (
+            SELECT doc_id, host, text, trim(unnest(string_split(regexp_replace(regexp_replace(lower(text), '[0-9]+', '0', 'g'), '[\x20\x09\x0B-\x0D]+', ' ', 'g'), chr(10))), ' ') AS line FROM d),
+        f AS (SELECT host, line, count(DISTINCT text) AS n_docs FROM n WHERE line <> '' GROUP BY host, line),
+        h AS (SELECT host, count(DISTINCT text) AS n_host FROM d GROUP BY host),
+        above AS (SELECT host, line FROM f JOIN h USING (host) WHERE n_docs > 10 AND n_docs * 20 > n_host),
+        lost AS (SELECT doc_id, sum(len(string_split(line, ' '))) AS n FROM n JOIN above USING (host, line) GROUP BY doc_id),
+        c AS (
+            SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+                CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+                CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words,
+                CAST(coalesce(lost.n, 0) AS BIGINT) AS n_lost_words
+            FROM d LEFT JOIN rep USING (doc_id) LEFT JOIN lost USING (doc_id))
+        SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+            NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * (n_words - n_lost_words) >= 50 * n_words AS kept
+        FROM c""",
     "op13_trie": r"""
         WITH t AS (
             SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos,
