@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, html, langid, phrases, pii, quality, secrets, simhash, topk, trie
+from . import align, bpe, chat, decontaminate, html, langid, phrases, pii, quality, secrets, simhash, topk, trie
 
 #: Key of the pseudonyms in op3's query; a user passes a key of their own.
 DEMO_KEY = b"codegraph-spark demonstration key"
@@ -64,12 +64,16 @@ def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rate(_table(spark, sf_dir, "documents"))
 
 
+def op12_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align_corpus(_table(spark, sf_dir, "documents"))
+
+
 def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     steps = trie.turn_steps(_table(spark, sf_dir, "conversations"))
     return trie.trie_nodes(*trie.with_shared_openings(*steps))
 
 
-QUERIES = {f.__name__: f for f in (op1_topk, op2_chat, op3_pii, op4_simhash, op5_html, op6_secrets, op7_decontaminate, op8_bpe, op9_langid, op10_phrases, op11_quality, op13_trie)}
+QUERIES = {f.__name__: f for f in (op1_topk, op2_chat, op3_pii, op4_simhash, op5_html, op6_secrets, op7_decontaminate, op8_bpe, op9_langid, op10_phrases, op11_quality, op12_align, op13_trie)}
 
 ORACLES = {
     "op1_topk": """
