@@ -20,41 +20,52 @@ def content_sha256(content: Column) -> Column:
 
 
 #: Marks that a text is cut at; a text that holds one itself gets a space in its place.
-_BEGIN, _END = "\x01", "\x02"
+BEGIN, END = "\x01", "\x02"
 
 
-def _bind(value: Column, body) -> Column:
+def bind(value: Column, body) -> Column:
     """body(value) with value evaluated once, however often body names it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def marked(text: Column, pattern: str) -> Column:
-    """The text with a mark before and behind every match, left to right; a plain text where nothing matches."""
-    clean = F.when(text.contains(_BEGIN) | text.contains(_END), F.translate(text, _BEGIN + _END, "  ")).otherwise(text)
-    return F.regexp_replace(clean, pattern, f"{_BEGIN}$0{_END}")
+def upto_last(text: Column, ends: str) -> Column:
+    """The text up to the last place where these characters occur in this order, with only themselves behind the first."""
+    for c in reversed(ends):
+        text = F.substring(text, F.lit(1), F.length(text) - F.length(F.substring_index(text, c, -1)))
+    return F.concat(text, F.lit(ends[1:])) if ends[1:] else text
+
+
+def marked(text: Column, pattern: str, over: str = "") -> Column:
+    """The text with a mark before and behind every match, left to right; a plain text where nothing matches. over is passed
+    over without a mark where the pattern doesn't match; neither captures."""
+    clean = F.when(text.contains(BEGIN) | text.contains(END), F.translate(text, BEGIN + END, "  ")).otherwise(text)
+    if not over:
+        return F.regexp_replace(clean, pattern, f"{BEGIN}$0{END}")
+    return F.replace(F.regexp_replace(clean, f"({pattern})|({over})", f"{BEGIN}$1{END}$2"), F.lit(BEGIN + END), F.lit(""))
 
 
 def matches(text: Column, pattern: str) -> Column:
     """array<struct<line, text>> of a pattern's matches, line counted from one; linear in the text, however many there are."""
-    number = lambda x, i: F.replace(x, F.lit(_BEGIN), F.concat(F.lit(_BEGIN), (i + 1).cast("string"), F.lit(":")))
-    part = lambda x: F.struct(F.substring_index(x, ":", 1).cast("int").alias("line"), F.regexp_extract(x, f"(?s)^\\d+:(.*?){_END}", 1).alias("text"))
+    number = lambda x, i: F.replace(x, F.lit(BEGIN), F.concat(F.lit(BEGIN), (i + 1).cast("string"), F.lit(":")))
+    part = lambda x: F.struct(F.substring_index(x, ":", 1).cast("int").alias("line"), F.regexp_extract(x, f"(?s)^\\d+:(.*?){END}", 1).alias("text"))
 
     def cut(m: Column) -> Column:
         numbered = F.array_join(F.transform(F.split(m, "\n"), number), "\n")
-        return F.when(m.contains(_BEGIN), F.transform(F.filter(F.split(numbered, _BEGIN), lambda _, i: i > 0), part)).otherwise(F.array().cast("array<struct<line:int,text:string>>"))
+        return F.when(m.contains(BEGIN), F.transform(F.filter(F.split(numbered, BEGIN), lambda _, i: i > 0), part)).otherwise(F.array().cast("array<struct<line:int,text:string>>"))
 
-    return _bind(marked(text, pattern), cut)
+    return bind(marked(text, pattern), cut)
 
 
 def line_of_match(text: Column, pattern: str) -> Column:
     return F.transform(matches(text, pattern), lambda m: m["line"])
 
 
-def lines_of_matches(text: Column, pattern: str) -> Column:
-    """array<struct<line, n>>: lines on which matches begin, and how many do."""
-    count = lambda x, i: F.struct((i + 1).alias("line"), (F.length(x) - F.length(F.replace(x, F.lit(_BEGIN), F.lit("")))).alias("n"))
-    cut = lambda m: F.when(m.contains(_BEGIN), F.filter(F.transform(F.split(m, "\n"), count), lambda x: x["n"] > 0)).otherwise(F.array().cast("array<struct<line:int,n:int>>"))
-    return _bind(marked(text, pattern), cut)
+def lines_of_matches(text: Column, pattern: str, over: str = "", until: str = "") -> Column:
+    """array<struct<line, n>>: lines on which matches begin, and how many do. over as in marked(); until: characters that all
+    matches end with, in order, so that what is behind their last occurrence is left out."""
+    count = lambda x, i: F.struct((i + 1).alias("line"), (F.length(x) - F.length(F.replace(x, F.lit(BEGIN), F.lit("")))).alias("n"))
+    cut = lambda m: F.when(m.contains(BEGIN), F.filter(F.transform(F.split(m, "\n"), count), lambda x: x["n"] > 0)).otherwise(F.array().cast("array<struct<line:int,n:int>>"))
+    return bind(marked(upto_last(text, until) if until else text, pattern, over), cut)
 
 
 def snippet(lines: Column, line: Column, most: int | None = None) -> Column:

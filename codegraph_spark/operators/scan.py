@@ -2,34 +2,49 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.findings import normalize_severity
-from ..functions.text import dart_blank_strings_comments, js_strip_comments, lines_of_matches, py_blank_comments, py_blank_strings_comments, snippet
+from ..functions.text import BEGIN, END, bind, dart_blank_strings_comments, js_strip_comments, lines_of_matches, marked, py_blank_comments, py_blank_strings_comments, snippet
+from ..functions.patterns import literals, stays_on_line
 from .relations import dedupe_first
 
 
 class Rule(NamedTuple):
+    """over: what is passed over where the pattern fails at its own beginning; nothing within can begin a match, so a loop over
+    anything is not entered again at each beginning in the same stretch. until: characters that every match ends with, in this
+    order; the text behind their last occurrence can't hold a match and is left out."""
+
     id: str
     severity: str
     pattern: str
+    over: str = ""
+    until: str = ""
+
 
+def _upto(stop: str) -> str:
+    """Rest of a regex literal on its line before one of the characters, pairs of a backslash and another passed over."""
+    one = rf"[^/\\\n{stop}]*+"
+    return rf"{one}(?:\\[^\n]{one})*+"
 
-_Q = r"""["']"""
-#: Ids, severities and what they look for. JS rules see texts without comments.
+
+_Q = r"""["\']"""
+#: Ids, severities and what they look for. JS rules see texts without comments. Where an expression isn't written
+#: as it is known elsewhere, a comment gives the engine's reason; groups never capture, since the scan adds groups of its own.
 JS_RULES = (
     Rule("eval.call", "high", r"\beval\s*\("),
     Rule("function.constructor", "high", r"new\s+Function\s*\("),
     Rule("timeout.string", "high", rf"set(?:Timeout|Interval)\s*\(\s*{_Q}"),
-    Rule("vm.module", "high", r"\bvm\.[A-Za-z_]\w*\s*\("),
+    Rule("vm.module", "high", r"\bvm\.[A-Za-z_][\w]*\s*\("),
     Rule("child_process.exec", "high", rf"(?:\brequire\s*\(\s*{_Q}child_process{_Q}\s*\)|\bchild_process)\s*\.\s*(?:exec|execSync|spawn|spawnSync)\s*\("),
     Rule("child_process.shell", "high", r"shell\s*:\s*true"),
-    Rule("child_process.spawnShell", "high", r"(?:\bchild_process\s*\.\s*)?(?:spawn|execFile)(?:Sync)?\s*\([^;{}]*\{[^}]*shell\s*:\s*true"),
-    Rule("dynamic.require", "high", r"require\s*\(\s*+[^'\"\s][^)]*\)"),
-    Rule("dynamic.import", "high", r"import\s*\(\s*+[^'\"\s][^)]*\)"),
+    Rule("child_process.spawnShell", "high", r"(?:\bchild_process\s*\.\s*)?(?:spawn|execFile)(?:Sync)?\s*\([^;{}]*\{[^}]*shell\s*:\s*true", over=r"(?:spawn|execFile)(?:Sync)?\s*\([^;{}]*+(?:\{[^}]*+)?"),
+    Rule("dynamic.require", "high", r"require\s*\(\s*[^\'\"\s][^\)]*\)", until=")"),
+    Rule("dynamic.import", "high", r"import\s*\(\s*[^\'\"\s][^\)]*\)", until=")"),
     Rule("import.template", "high", r"from\s*`"),
     Rule("node.builtin", "med", rf"\b(?:require|import)\s*\(\s*{_Q}(?:fs|net|tls|http|https|dgram|cluster|os)\b"),
     Rule("process.env", "med", r"process\.env"),
@@ -44,28 +59,29 @@ JS_RULES = (
     Rule("dom.range", "high", r"createContextualFragment\s*\("),
     Rule("react.dangerousHTML", "high", r"dangerouslySetInnerHTML\s*:"),
     Rule("iframe.srcdoc", "high", r"\bsrcdoc\s*="),
-    Rule("template.interpolation", "low", r"`[^`]*\$\{[^}]+\}[^`]*`"),
-    Rule("postmessage.wildcard", "med", rf"postMessage\s*\([^,]+,\s*{_Q}\*{_Q}\)"),
-    Rule("secret.literal", "high", rf"(?:API[_-]?KEY|SECRET|TOKEN|PASSWORD|PRIVATE[_-]?KEY)\s*[:=]\s*{_Q}[A-Za-z0-9_\-.=+/]{{12,}}{_Q}"),
+    Rule("template.interpolation", "low", r"`[^`]*\$\{[^}]+\}[^`]*`", until="}`"),
+    Rule("postmessage.wildcard", "med", rf"postMessage\s*\([^,]+,\s*{_Q}\*{_Q}\)", over=r"postMessage\s*\([^,]*+"),
+    Rule("secret.literal", "high", rf"(?:API[_-]?KEY|SECRET|TOKEN|PASSWORD|PRIVATE[_-]?KEY)\s*[:=]\s*{_Q}[A-Za-z0-9_\-\.=+/]{{12,}}{_Q}"),
     Rule("math.random", "low", r"Math\.random\s*\("),
     Rule("storage.token", "med", r"(?i)(?:localStorage|sessionStorage|indexedDB)[^\n;]{0,200}(?:setItem|put|add|=)[^\n;]{0,200}(?:token|auth|jwt|session)"),
     Rule("crypto.weakHash", "med", rf"crypto\.createHash\(\s*{_Q}(?:md5|sha1){_Q}"),
     Rule("crypto.createCipher", "med", r"crypto\.create(?:Cipher|Decipher)\s*\("),
-    Rule("jwt.verify", "med", rf"(?:\brequire\s*\(\s*{_Q}jsonwebtoken{_Q}\s*\)|\bjwt|\bjsonwebtoken)\s*\.\s*verify\s*\(\s*[^,]+,\s*[^,]+?\)"),
+    # no loop over white space before one that takes it too: its ways to share it out would all be tried
+    Rule("jwt.verify", "med", rf"(?:\brequire\s*\(\s*{_Q}jsonwebtoken{_Q}\s*\)|\bjwt|\bjsonwebtoken)\s*\.\s*verify\s*\([^,]+,[^,]+?\)", over=r"(?:\bjwt|\bjsonwebtoken)\s*\.\s*verify\s*\([^,]*+"),
     Rule("cors.wildcard", "med", rf"Access-Control-Allow-Origin{_Q}?\s*[:=]\s*{_Q}\*{_Q}"),
     Rule("cors.middleware", "med", r"app\.use\s*\(\s*cors\s*\(\s*\)"),
     Rule("cookie.literal", "low", rf"(?:document\.cookie\s*=\s*{_Q}[^\"']*{_Q}|cookie\s*:\s*{_Q}[^\"']*{_Q})"),
-    Rule("console.secret", "low", r"(?i)console\.(?:log|dir)\s*\([^)]*(?:password|secret|token|api[_-]?key|auth|credential|ssn|social|credit|card|email)[^)]*\)"),
-    Rule("import.meta.env", "low", r"import\.meta\.env\.[A-Za-z_]\w*"),
-    Rule("ssrf.metadataHost", "high", r"(?:https?://)?(?:169\.254\.169\.254|10\.(?:[0-9]{1,3}\.){2}[0-9]{1,3}|172\.(?:1[6-9]|2[0-9]|3[01])\.[0-9]{1,3}\.[0-9]{1,3}|192\.168\.[0-9]{1,3}\.[0-9]{1,3})"),
+    Rule("console.secret", "low", r"(?i)console\.(?:log|dir)\s*\([^)]*(?:password|secret|token|api[_-]?key|auth|credential|ssn|social|credit|card|email)[^)]*\)", over=r"(?i)console\.(?:log|dir)\s*\([^)]*+", until=")"),
+    Rule("import.meta.env", "low", r"import\.meta\.env\.[A-Za-z_][\w]*"),
+    Rule("ssrf.metadataHost", "high", r"(?:https?:\/\/)?(?:169\.254\.169\.254|10\.(?:[0-9]{1,3}\.){2}[0-9]{1,3}|172\.(?:1[6-9]|2[0-9]|3[0-1])\.(?:[0-9]{1,3})\.(?:[0-9]{1,3})|192\.168\.(?:[0-9]{1,3})\.(?:[0-9]{1,3}))"),
     Rule("injection.mongoOperator", "high", r"\$(?:where|regex)\s*:"),
     Rule("regex.dynamic", "med", rf"(?:new\s+)?RegExp\s*\(\s*+(?![\"'`/])"),
-    # unrolled: an alternative in a loop recurses once a character in Java
-    Rule("regex.catastrophic", "high", r"/[^/\\]*(?:\\.[^/\\]*)*\([^)]*\+[^)]*\)[^/\\]*(?:\\.[^/\\]*)*\+[^/\\]*(?:\\.[^/\\]*)*/"),
-    Rule("cors.credentialsWildcard", "high", r"(?is)Access-Control-Allow-Origin[^\n;]*\*.{0,200}?Access-Control-Allow-Credentials[^\n;]*true"),
+    # a literal ends with its line, so nothing here crosses one; possessive throughout, groups without + first: one way to match
+    Rule("regex.catastrophic", "high", r"/" + _upto("(") + r"(?:\([^)+/\n]*+\)" + _upto("(") + r")*+\([^)+/\n]*+\+[^)/\n]*+\)" + _upto("+") + r"\+" + _upto("") + "/"),
+    Rule("cors.credentialsWildcard", "high", r"(?is)Access-Control-Allow-Origin[^\n;]*\*.{0,200}?Access-Control-Allow-Credentials[^\n;]*true", over=r"(?i)Access-Control-Allow-Origin[^\n;]*+"),
     Rule("tls.disabledEnv", "high", r"NODE_TLS_REJECT_UNAUTHORIZED\s*=\s*0"),
-    Rule("tls.agentInsecure", "high", r"https?\.Agent\s*\(\s*\{[^}]*rejectUnauthorized\s*:\s*false"),
-    Rule("template.tripleStache", "med", r"\{\{\{[^}]+\}\}\}"),
+    Rule("tls.agentInsecure", "high", r"https?\.Agent\s*\(\s*\{[^}]*rejectUnauthorized\s*:\s*false", over=r"https?\.Agent\s*\(\s*\{[^}]*+"),
+    Rule("template.tripleStache", "med", r"\{\{\{[^}]+\}\}\}", over=r"\{\{\{[^}]*+"),
     Rule("template.escapeDisabled", "med", r"(?i)escape\s*:\s*false"),
     Rule("prototype.proto", "high", r"(?:__proto__|constructor\.prototype)\s*="),
     Rule("crypto.aesEcb", "high", r"(?i)AES[_-]?ECB|aes-(?:128|192|256)-ecb"),
@@ -76,12 +92,12 @@ PY_RULES = (
     Rule("py.eval.call", "high", r"\beval\s*\("),
     Rule("py.exec.call", "high", r"\bexec\s*\("),
     Rule("py.os.system", "high", r"\bos\.system\s*\("),
-    Rule("py.subprocess.shell", "high", r"(?i)\bsubprocess\.(?:Popen|run|call|check_output)\s*\([^)]*shell\s*=\s*True"),
-    Rule("py.pickle.load", "high", r"\bpickle\.loads?\s*\("),
+    Rule("py.subprocess.shell", "high", r"(?i)\bsubprocess\.(?:Popen|run|call|check_output)\s*\([^)]*shell\s*=\s*True", over=r"(?i)\bsubprocess\.(?:Popen|run|call|check_output)\s*\([^)]*+"),
+    Rule("py.pickle.load", "high", r"\bpickle\.(?:load|loads)\s*\("),
     Rule("py.yaml.unsafe_load", "high", r"\byaml\.load\s*\("),
     Rule("py.jsonpickle.decode", "high", r"\bjsonpickle\.(?:decode|Unpickler)\s*\("),
-    Rule("py.marshal.loads", "high", r"\bmarshal\.loads?\s*\("),
-    Rule("py.requests.verify_false", "med", r"(?i)\brequests\.\w+\s*\([^)]*verify\s*=\s*False"),
+    Rule("py.marshal.loads", "high", r"\bmarshal\.(?:load|loads)\s*\("),
+    Rule("py.requests.verify_false", "med", r"(?i)\brequests\.\w+\s*\([^)]*verify\s*=\s*False", over=r"(?i)\brequests\.\w+\s*\([^)]*+"),
     Rule("py.ssl.unverified_context", "med", r"\bssl\._create_unverified_context\s*\("),
     Rule("py.regex.dynamic", "med", r"\bre\.compile\s*\(\s*[A-Za-z_]\w*"),
     Rule("py.crypto.weak_hash", "med", r"\bhashlib\.(?:md5|sha1)\s*\("),
@@ -89,38 +105,39 @@ PY_RULES = (
     Rule("py.jwt.decode.unsafe", "med", r"\bjwt\.decode\s*\("),
     Rule("py.zip.extraction", "high", r"\b(?:zipfile|tarfile)\.[A-Za-z_]\w*extractall\s*\("),
     Rule("py.tempfile.insecure", "med", r"\btempfile\.mktemp\s*\("),
-    Rule("py.fs.world_perms", "med", r"\bos\.(?:chmod\s*\([^,]+,\s*0o?777\b|umask\s*\(\s*0\s*\))"),
-    Rule("py.sql.concat", "high", r"(?i)\b(?:execute|executemany)\s*\(\s*[^)]*[+{]"),
+    Rule("py.fs.world_perms", "med", r"\bos\.(?:chmod\s*\([^,]+,\s*0o?777\b|umask\s*\(\s*0\s*\))", over=r"\bos\.chmod\s*\([^,]*+"),
+    # no loop over white space before one that takes it too
+    Rule("py.sql.concat", "high", r"(?i)\b(?:execute|executemany)\s*\([^)]*(?:[+{])", over=r"(?i)\b(?:execute|executemany)\s*\([^)]*+"),
     Rule("py.cookie.insecure", "med", r"\.set_cookie\s*\("),
-    Rule("py.importlib.dynamic", "med", r"\bimportlib\.import_module\s*\("),
+    Rule("py.importlib.dynamic", "med", r"\bimportlib\.import_module\s*[(]"),
 )
 PY_QUOTED = (
-    Rule("py.subprocess.cmd_str", "med", r"\bsubprocess\.(?:Popen|run|call|check_output)\s*\(\s*[rRuUbBfF]*[\"']"),
+    Rule("py.subprocess.cmd_str", "med", r"\bsubprocess\.(?:Popen|run|call|check_output)\s*\(\s*(?:[rRuUbBfF]*[\"\'])"),
     Rule("py.ssrf.dynamic_url", "high", rf"\brequests\.(?:get|post|put|delete|patch|head|options)\s*\(\s*+{_S}"),
     Rule("py.open_redirect", "high", rf"\bredirect\s*\(\s*+{_S}"),
 )
 PY_RAW = (
-    Rule("py.django.debug_true", "low", r"(?m)^\s*DEBUG\s*=\s*True\b"),
-    Rule("py.django.allowed_hosts_any", "med", rf"(?m)^\s*ALLOWED_HOSTS\s*=\s*\[\s*{_Q}\*{_Q}\s*\]"),
+    Rule("py.django.debug_true", "low", r"(?m)^\s*DEBUG\s*=\s*True\b", over=r"(?m)^\s++"),
+    Rule("py.django.allowed_hosts_any", "med", rf"(?m)^\s*ALLOWED_HOSTS\s*=\s*\[\s*{_Q}\*{_Q}\s*\]", over=r"(?m)^\s++"),
     Rule("py.cors.wildcard", "med", rf"Access-Control-Allow-Origin{_Q}?\s*[:=]\s*{_Q}\*{_Q}"),
     Rule("py.cors.credentialsWildcard", "high", rf"(?i)Access-Control-Allow-Credentials{_Q}?\s*[:=]\s*{_Q}true{_Q}"),
     Rule("py.urllib3.disable_warnings", "low", r"\burllib3\.disable_warnings\s*\("),
-    Rule("py.secret.literal", "high", rf"(?:API[_-]?KEY|SECRET[_-]?KEY|SECRET|TOKEN|PASSWORD|PRIVATE[_-]?KEY)\s*[:=]\s*{_Q}[A-Za-z0-9_\-.=+/]{{12,}}{_Q}"),
+    Rule("py.secret.literal", "high", rf"(?:API[_-]?KEY|SECRET[_-]?KEY|SECRET|TOKEN|PASSWORD|PRIVATE[_-]?KEY)\s*[:=]\s*{_Q}[A-Za-z0-9_\-\.=+/]{{12,}}{_Q}"),
     Rule("py.env.access", "low", rf"\bos\.environ\[\s*{_Q}[A-Za-z_]\w*{_Q}\s*\]"),
-    Rule("py.logging.secrets", "low", r"(?i)\b(?:print|logging\.\w+)\s*\([^)]*(?:password|secret|token|api[_-]?key|auth|credential)[^)]*\)"),
-    Rule("py.fs.dotdot", "high", r"\.\./|\.\.\\"),
-    Rule("py.jwt.none_alg", "high", r"(?i)algorithms\s*=\s*\[[^\]]*\bnone\b[^\]]*\]"),
+    Rule("py.logging.secrets", "low", r"(?i)\b(?:print|logging\.\w+)\s*\([^)]*(?:password|secret|token|api[_-]?key|auth|credential)[^)]*\)", over=r"(?i)\b(?:print|logging\.\w+)\s*\([^)]*+", until=")"),
+    Rule("py.fs.dotdot", "high", r"(?:\.\./|\.\.\\)"),
+    Rule("py.jwt.none_alg", "high", r"(?i)algorithms\s*=\s*\[[^\]]*\bnone\b[^\]]*\]", over=r"(?i)algorithms\s*=\s*\[[^\]]*+", until="]"),
     Rule("py.http.cleartext", "med", r"http://(?!localhost|127\.0\.0\.1|0\.0\.0\.0)"),
 )
 SECRET_RULES = (
     Rule("dart.secret.aws-access-key", "high", r"AKIA[0-9A-Z]{16}"),
     Rule("dart.secret.slack-token", "high", r"xox[baprs]-[0-9A-Za-z-]{10,48}"),
-    Rule("dart.secret.jwt", "high", r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
+    Rule("dart.secret.jwt", "high", r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", over=r"eyJ[A-Za-z0-9_-]*+"),
     Rule("dart.secret.private-key", "high", r"-----BEGIN (?:RSA|DSA|EC|OPENSSH|PGP) PRIVATE KEY-----"),
     Rule("dart.http.http-url", "medium", r"http://[^\s'\"]+"),
 )
 DART_RULES = (
-    Rule("dart.process.run.shell", "high", r"\bProcess\.(?:run|start)(?:Sync)?\s*\([^;]*runInShell\s*:\s*true"),
+    Rule("dart.process.run.shell", "high", r"\bProcess\.(?:run|start)(?:Sync)?\s*\([^;]*runInShell\s*:\s*true", over=r"\bProcess\.(?:run|start)(?:Sync)?\s*\([^;]*+"),
     Rule("dart.process.run", "medium", r"\bProcess\.(?:run|start)(?:Sync)?\s*\((?![^;]*runInShell\s*:\s*true)"),
     Rule("dart.random.insecure", "medium", r"\bRandom\s*\("),
     Rule("dart.http.badcert", "high", r"\bbadCertificateCallback\s*="),
@@ -138,12 +155,30 @@ def _findings(src: DataFrame, found: Column) -> DataFrame:
 
 
 def rule_findings(text: Column, lines: Column, rules) -> Column:
-    """array of (id, severity, line, code): the lines on which matches of the rules begin; lines is the array of the original's."""
+    """array of (id, severity, line, code): the lines on which matches of the rules begin; lines is the array of the original's.
+
+    A rule runs only on texts that hold one of the literals it can't match without; a rule whose matches stay on their line only
+    on lines that do. All look at one lower-case copy of the text.
+    """
+
+    def finding(r: Rule, line: Column) -> Column:
+        return F.struct(F.lit(r.id).alias("id"), F.lit(r.severity).alias("severity"), line.alias("line"), snippet(lines, line).alias("code"))
+
+    none = F.array().cast("array<struct<id:string,severity:string,line:int,code:string>>")
+
+    def holds(low: Column, words: tuple[str, ...]) -> Column:
+        return reduce(Column.__or__, [low.contains(w) for w in words]) if words else F.lit(True)
 
-    def each(r: Rule) -> Column:
-        return F.transform(lines_of_matches(text, r.pattern), lambda m: F.struct(F.lit(r.id).alias("id"), F.lit(r.severity).alias("severity"), m["line"].alias("line"), snippet(lines, m["line"]).alias("code")))
+    def each(r: Rule, low: Column, own: Column) -> Column:
+        words = literals(r.pattern)
+        if stays_on_line(r.pattern):
+            numbered = F.filter(F.transform(own, lambda x, i: F.when(holds(F.lower(x), words) & x.rlike(r.pattern), i + 1)), lambda i: i.isNotNull())
+            found = F.transform(numbered, lambda i: finding(r, i))
+        else:
+            found = F.transform(lines_of_matches(text, r.pattern, r.over, r.until), lambda m: finding(r, m["line"]))
+        return F.when(holds(low, words), found).otherwise(none)
 
-    return F.flatten(F.array(*map(each, rules)))
+    return bind(F.lower(text), lambda low: bind(F.split(text, "\n"), lambda own: F.flatten(F.array(*[each(r, low, own) for r in rules]))))
 
 
 def _unique(findings: DataFrame) -> DataFrame:
@@ -221,25 +256,24 @@ def scan_python(src: DataFrame) -> DataFrame:
 
 
 def scan_secrets(src: DataFrame, rules=SECRET_RULES) -> DataFrame:
-    """With column (from one) and the match cut at 200 characters; each match once. The rules' matches end with their line."""
-    rows = src.select("repo", "path", F.posexplode(F.split("content", "\n")).alias("i", "raw"))
-    rows = rows.where(F.col("raw").rlike("|".join(f"(?:{r.pattern})" for r in rules)))
-
-    def one(m: Column, r: Rule) -> Column:
-        text = F.when(F.length(m) > 200, F.concat(F.substring(m, 1, 200), F.lit("..."))).otherwise(m)
-        return F.struct(F.lit(r.id).alias("id"), F.lit(r.severity).alias("severity"), (F.col("i") + 1).alias("line"), text.alias("code"), m.alias("match"))
-
-    def each_match(r: Rule) -> Column:
-        return F.transform(F.regexp_extract_all("raw", F.lit(r.pattern), F.lit(0)), lambda m: one(m, r))
-
-    found = F.flatten(F.array(*map(each_match, rules)))
-    each = rows.select("repo", "path", "raw", F.posexplode(found).alias("n", "f")).select("repo", "path", "raw", "n", "f.*")
-    # equal matches of a line stand at their own places, in order
-    nth = F.row_number().over(Window.partitionBy("repo", "path", "line", "id", "match").orderBy("n"))
-    each = each.withColumn("__cg_nth", nth)
-    each = each.withColumn("col", F.length(F.expr("substring_index(raw, match, __cg_nth)")) + 1)
-    out = each.select("repo", "path", "id", "severity", "line", "col", "code").distinct()
-    return out.withColumn("severityNormalized", normalize_severity(F.col("severity")))
+    """With column (from one) and the match cut at 200 characters; each match once. The rules' matches end with their line.
+
+    A matched line is cut before each match; a running sum of the parts' lengths gives the columns, so a line takes as long as
+    it is, however many matches it holds.
+    """
+    lines = src.select("repo", "path", F.posexplode(F.split("content", "\n")).alias("i", "raw"))
+    parts = []
+    for r in rules:
+        held = lines.where(reduce(Column.__or__, [F.lower("raw").contains(w) for w in literals(r.pattern)])) if literals(r.pattern) else lines
+        cut = held.withColumn("m", marked(F.col("raw"), r.pattern, r.over)).where(F.col("m").contains(BEGIN))
+        each = cut.select("repo", "path", (F.col("i") + 1).alias("line"), F.posexplode(F.split("m", BEGIN)).alias("n", "part"))
+        match = F.substring_index("part", END, 1)
+        code = F.when(F.length(match) > 200, F.concat(F.substring(match, 1, 200), F.lit("..."))).otherwise(match)
+        width = F.length("part") - F.when(F.col("n") > 0, 1).otherwise(0)  # without the mark behind the match
+        parts.append(each.select("repo", "path", F.lit(r.id).alias("id"), F.lit(r.severity).alias("severity"), "line", "n", width.alias("width"), F.when(F.col("n") > 0, code).alias("code")))
+    before = Window.partitionBy("repo", "path", "id", "line").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    found = reduce(DataFrame.union, parts).withColumn("col", (F.sum("width").over(before) + 1).cast("int")).where("n > 0")
+    return found.select("repo", "path", "id", "severity", "line", "col", "code", normalize_severity(F.col("severity")).alias("severityNormalized"))
 
 
 def scan_dart_api(src: DataFrame) -> DataFrame:
