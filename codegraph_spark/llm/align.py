@@ -27,6 +27,8 @@ A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 BROADCAST_PAIRS = 2_000_000
 #: Chunks of text a task remembers, the longest one it remembers, and characters aligned at a time.
 REMEMBERED, LONGEST, AT_ONCE = 250_000, 64, 2_000_000
+#: Chunks that are encoded together when they are first seen.
+TOGETHER = 2_000
 #: Pairs a task adds up before it passes them on.
 HELD_PAIRS = 1_000_000
 _MARK = "▁"
@@ -62,68 +64,85 @@ class Pair:
         self.a_len, self.b_len = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
         # no piece of B goes on after a space: what stands between single spaces is encoded by itself
         self.by_chunk = not any(_MARK in p.lstrip(_MARK) for p in pieces)
-        self.known: dict[str, tuple[bytes, bytes] | None] = {}
-
-    def _encode(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
-        """Little-endian 32-bit ids of each space + text, by both tokenizers."""
-        a = self.a.encode_batch([" " + t for t in texts], add_special_tokens=False)
-        b = self.b.encode(texts, num_threads=1)
-        return [(np.array(x.ids, "<u4").tobytes(), np.array(y, "<u4").tobytes()) for x, y in zip(a, b, strict=True)]
+        self.known_a: dict[str, bytes | None] = {}
+        self.known_b: dict[str, bytes | None] = {}
+        # ids as text with what follows them, padded with zero bytes
+        written = lambda size, end: np.array([b"%d%b" % (n, end) for n in range(size)])
+        self.a_text, self.a_last = (written(len(self.a_bytes), end) for end in (b",", b"|"))
+        self.b_text, self.b_last = (written(len(self.b_bytes), end) for end in (b",", b";"))
+
+    def _whole(self, text: str) -> tuple[bytes, bytes]:
+        """Little-endian 32-bit ids of space + text by both tokenizers; none where the tokens of one don't spell it."""
+        a, b = (np.array(x, "<u4") for x in (self.a.encode(" " + text, add_special_tokens=False).ids, self.b.encode(text)))
+        want = b" " + text.encode()
+        spelt = b"".join(map(self.a_bytes.__getitem__, a.tolist())) == want == b"".join(map(self.b_bytes.__getitem__, b.tolist()))
+        return (a.tobytes(), b.tobytes()) if text and spelt else (b"", b"")
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Remember the ids of chunks, encoded together; a chunk that isn't spelt as it stands is left to _whole()."""
+        ids = [np.frombuffer(x, "<u4") for x in self._whole(" ".join(chunks))]
+        if not len(ids[0]):
+            if len(chunks) == 1:
+                self.known_a[chunks[0]] = self.known_b[chunks[0]] = None
+            else:
+                half = len(chunks) // 2
+                self._learn(chunks[:half])
+                self._learn(chunks[half:])
+            return
+        ends = np.cumsum([len(c.encode()) + 1 for c in chunks])
+        for known, x, lengths in ((self.known_a, ids[0], self.a_len), (self.known_b, ids[1], self.b_len)):
+            data, at = x.tobytes(), 0
+            for chunk, end in zip(chunks, (4 * np.searchsorted(np.cumsum(lengths[x]), ends) + 4).tolist(), strict=True):
+                known[chunk] = data[at:end]
+                at = end
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
         """By both tokenizers' rules a token never spans the space between two chunks, so chunks are remembered with their ids.
         Texts where white space follows a space, ends the text or begins it, or that hold B's space mark, are encoded whole."""
         if not self.by_chunk:
-            return self._encode(texts)
+            return [self._whole(t) for t in texts]
         split = [t.split(" ") for t in texts]
-        fresh = {c for chunks in split for c in chunks if c not in self.known}
-        if len(self.known) + len(fresh) > REMEMBERED:
-            self.known.clear()
-            fresh = {c for chunks in split for c in chunks}
-        whole = {c for c in fresh if not c or c[0].isspace() or _MARK in c}
-        self.known.update(dict.fromkeys(whole))
-        regular = list(fresh - whole)
-        self.known.update(zip(regular, self._encode(regular), strict=True))
-        out: list = [None] * len(texts)
-        odd = []
-        for n, chunks in enumerate(split):
-            found = [self.known[c] for c in chunks]
-            if None in found:
-                odd.append(n)
-            else:
-                out[n] = (b"".join([x[0] for x in found]), b"".join([x[1] for x in found]))
-        for n, ids in zip(odd, self._encode([texts[n] for n in odd]), strict=True):
-            out[n] = ids
+        fresh = set().union(*split) - self.known_a.keys()
+        if len(self.known_a) + len(fresh) > REMEMBERED:
+            self.known_a.clear()
+            self.known_b.clear()
+            fresh = set().union(*split)
+        odd = {c for c in fresh if not c or c[0].isspace() or _MARK in c}
+        self.known_a.update(dict.fromkeys(odd))
+        self.known_b.update(dict.fromkeys(odd))
+        regular = list(fresh - odd)
+        for at in range(0, len(regular), TOGETHER):
+            self._learn(regular[at : at + TOGETHER])
+        out = []
+        for text, chunks in zip(texts, split, strict=True):
+            try:
+                out.append((b"".join(map(self.known_a.__getitem__, chunks)), b"".join(map(self.known_b.__getitem__, chunks))))
+            except TypeError:  # an odd chunk
+                out.append(self._whole(text))
         for c in fresh:
             if len(c) > LONGEST:
-                del self.known[c]
+                del self.known_a[c], self.known_b[c]
         return out
 
     def align(self, texts: list[str]) -> list[tuple]:
         """(n_a, n_b, n_groups, n_links, groups_sha256, identity ids and links, other pairs and links) of each text."""
         coded = self.encode(texts)
-        for n, (t, (a, b)) in enumerate(zip(texts, coded, strict=True)):
-            want = b" " + t.encode()
-            if not t or b"".join([self.a_bytes[i] for i in np.frombuffer(a, "<u4").tolist()]) != want or b"".join([self.b_bytes[i] for i in np.frombuffer(b, "<u4").tolist()]) != want:
-                coded[n] = (b"", b"")
         a, b = (np.frombuffer(b"".join([x[k] for x in coded]), "<u4").astype(np.int64) for k in (0, 1))
         a_of, b_of = (np.cumsum([0, *[len(x[k]) // 4 for x in coded]]) for k in (0, 1))  # of each text's tokens
         a_end, b_end = np.cumsum(self.a_len[a]), np.cumsum(self.b_len[b])
-        every = np.union1d(a_end, b_end)  # where any token ends: as many links as stretches between
+        a_both, b_both = _among(a_end, b_end), _among(b_end, a_end)
+        # where any token ends: as many links as stretches between
+        every = np.sort(np.concatenate([a_end, b_end[~b_both]]), kind="stable")
         a_at, b_at = np.searchsorted(a_end, every), np.searchsorted(b_end, every)
-        a_both = np.isin(a_end, b_end, assume_unique=True)
-        b_both = np.isin(b_end, a_end, assume_unique=True)
         a_group, b_group = np.cumsum(a_both) - a_both, np.cumsum(b_both) - b_both
         n_groups = int(a_both.sum())
         a_in, b_in = np.bincount(a_group, minlength=n_groups), np.bincount(b_group, minlength=n_groups)
         of_a, of_b = a[a_at], b[b_at]
         exact = (a_in == 1)[a_group[a_at]] & (b_in == 1)[a_group[a_at]] & (self.same[of_a] == of_b) if len(every) else np.zeros(0, bool)
 
-        width = max(len(str(len(x))) for x in (self.a_bytes, self.b_bytes)) + 1
-        named = lambda ids, last, end: np.where(last, np.char.add(ids.astype(f"S{width - 1}"), end), np.char.add(ids.astype(f"S{width - 1}"), b","))
-        written = np.empty(len(a) + len(b), f"S{width}")
-        written[np.arange(len(a)) + np.r_[0, np.cumsum(b_in)][a_group]] = named(a, a_both, b"|")
-        written[np.arange(len(b)) + np.cumsum(a_in)[b_group]] = named(b, b_both, b";")
+        written = np.empty(len(a) + len(b), max(self.a_text.dtype, self.b_text.dtype))
+        written[np.arange(len(a)) + np.r_[0, np.cumsum(b_in)][a_group]] = np.where(a_both, self.a_last[a], self.a_text[a])
+        written[np.arange(len(b)) + np.cumsum(a_in)[b_group]] = np.where(b_both, self.b_last[b], self.b_text[b])
 
         row = np.searchsorted(a_of, a_at, "right") - 1  # the text of each link
         same_ids, same_of, same_n = _tally(row[exact], of_a[exact], len(texts))
@@ -138,6 +157,13 @@ class Pair:
         return out
 
 
+def _among(these: np.ndarray, those: np.ndarray) -> np.ndarray:
+    """Which entries of a sorted array are in another."""
+    if not len(those):
+        return np.zeros(len(these), bool)
+    return those[np.minimum(np.searchsorted(those, these), len(those) - 1)] == these
+
+
 def _tally(row: np.ndarray, key: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(distinct keys of each row in order, where each row's begin and end, how often each occurs); keys are below 2^32."""
     found, n = np.unique((row << 32) | key, return_counts=True)
