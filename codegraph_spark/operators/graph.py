@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.findings import EDGE_MASKS, kept
@@ -14,18 +17,27 @@ from ..functions.findings import EDGE_MASKS, kept
 STATUS_ORDER = ("reachable_current", "deferred_only", "dynamic_only", "test_only", "build_time_only", "reachable_other_profile")
 
 
-#: Steps of a walk between two checkpoints, and deltas of visited nodes that are kept side by side before they are merged.
-HOPS, DELTAS = 6, 8
+#: Steps of a walk in one job.
+HOPS = 6
+#: Rounds after which what is left of a graph is contracted: few graphs are that deep.
+DEEP = 6
+#: A graph is contracted again as long as the last time took away more than one in CONTRACTED of its nodes.
+CONTRACTED = 3
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """checkpoint() into the shared folder of spark.checkpoint.dir; a private one only where none is named and all runs here."""
-    sc = df.sparkSession.sparkContext
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Use the shared folder of spark.checkpoint.dir; a private one only where none is named and all runs on this machine."""
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if not named and not sc.master.startswith("local"):
             raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="cg-checkpoint-"))
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """checkpoint() into the shared folder: lineage ends there."""
+    ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
 
 
@@ -33,37 +45,118 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.union, parts)
 
 
+@contextmanager
+def bucketed(by: list[str]) -> Iterator:
+    """A function that writes a DataFrame into the shared folder, bucketed and sorted by these columns, and returns the table, and
+    the same rows as plain files. Joins on the columns move only the other side of the table; unions take the plain files (a
+    union of tables is taken for bucketed where it is not). deal: rows aren't dealt by the columns yet. The tables' names end with
+    the block; their files stay in the shared folder, as those of checkpoints do."""
+    names: list[tuple[SparkSession, str]] = []
+
+    def store(df: DataFrame, deal: bool = False) -> tuple[DataFrame, DataFrame]:
+        spark = df.sparkSession
+        ensure_checkpoint_dir(spark)
+        name = f"cg_{uuid.uuid4().hex}"
+        n, folder = int(spark.conf.get("spark.sql.shuffle.partitions")), f"{spark.sparkContext.getCheckpointDir()}/{name}"
+        names.append((spark, name))
+        dealt = df.repartition(n, *by) if deal else df
+        dealt.write.bucketBy(n, *by).sortBy(*by).option("path", folder).saveAsTable(name)
+        return spark.table(name), spark.read.schema(df.schema).parquet(folder)
+
+    try:
+        yield store
+    finally:
+        for spark, name in names:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def contract(out: DataFrame, seeds: DataFrame, keys: list[str]) -> tuple[DataFrame, list[DataFrame]]:
+    """Edges of a smaller graph, and what was taken out of it, to be put back last to first by expand().
+
+    out(*keys, id, to, edge_mask, len) are distinct edges, seeds(*keys, id). A node that one edge leads to, and that is no seed,
+    is reached from that edge's source only: it is taken out, and hangs on the nearest ancestor that stays, by the AND of the masks
+    and the sum of the lengths on the way. Ancestors are found by pointer doubling, in as many rounds as the logarithm of
+    the depth, so chains, trees and rings take few rounds. Edges that then have the same ends become one (masks are joined by OR,
+    the shortest length stays), which may leave new nodes with one edge: the graph is contracted again while that pays.
+    Nodes that nothing leads to, and rings that nothing leads into, are out of reach and fall away.
+    """
+    by, hung = [*keys, "id"], []
+    while True:
+        into = out.groupBy(*keys, F.col("to").alias("id")).agg(F.count("*").alias("n"), F.min(F.struct(F.col("id").alias("up"), "edge_mask", "len")).alias("e"))
+        into = cut(into.join(seeds.withColumn("seed", F.lit(True)), by, "left"))
+        total, one = into.agg(F.count("*"), F.count_if(F.expr("n = 1 AND seed IS NULL"))).first()
+        if one * CONTRACTED <= total:
+            return out, hung
+        tree = into.where("n = 1 AND seed IS NULL").select(*by, "e.up", F.col("e.edge_mask").alias("m"), F.col("e.len").alias("way"))
+        inner = tree.select(*keys, F.col("id").alias("up")).withColumn("todo", F.lit(True))
+        tree = cut(tree.join(inner, [*keys, "up"], "left").select(*by, "up", "m", "way", F.coalesce("todo", F.lit(False)).alias("todo")))
+        left = tree.where("todo").count()
+        while left:
+            above = tree.select(*keys, F.col("id").alias("up"), F.col("up").alias("up2"), F.col("m").alias("m2"), F.col("way").alias("way2"), F.col("todo").alias("todo2"))
+            nearer = tree.where("todo").join(above, [*keys, "up"]).select(*by, F.col("up2").alias("up"), F.col("m").bitwiseAND(F.col("m2")).alias("m"), (F.col("way") + F.col("way2")).alias("way"), F.col("todo2").alias("todo"))
+            tree = cut(tree.where("NOT todo").unionByName(nearer))
+            before, left = left, tree.where("todo").count()
+            if left == before:  # rings only
+                tree = tree.where("NOT todo")
+                break
+        hung.append(tree.drop("todo"))
+        # what is left leads from nodes that stay to nodes that stay
+        stays = out.join(tree.select(*keys, F.col("id").alias("to")), [*keys, "to"], "left_anti")
+        moved = stays.join(tree, by, "left")
+        source, through = F.coalesce("up", "id").alias("id"), F.coalesce("m", "edge_mask").bitwiseAND(F.col("edge_mask")).alias("edge_mask")
+        length = (F.coalesce("way", F.lit(0)) + F.col("len")).alias("len")
+        moved = moved.select(*keys, source, "to", through, length).groupBy(*by, "to").agg(F.bit_or("edge_mask").alias("edge_mask"), F.min("len").alias("len"))
+        ends = into.where("n > 1 OR seed").select(*by).unionByName(seeds.select(*by)).distinct()
+        out = cut(moved.join(ends, by, "left_semi"))
+
+
+def expand(found: DataFrame, hung: list[DataFrame], keys: list[str], value: str) -> DataFrame:
+    """found(*keys, id, mask or depth) with the nodes that contract() took out, reached as the nodes they hang on are."""
+    through = {"mask": F.col("mask").bitwiseAND(F.col("m")), "depth": F.col("depth") + F.col("way")}[value].alias(value)
+    for tree in reversed(hung):
+        below = tree.join(found.withColumnRenamed("id", "up"), [*keys, "up"]).select(*keys, "id", through)
+        found = cut(found.unionByName(below.where("mask <> 0") if value == "mask" else below))
+    return found
+
+
+def _distinct_edges(edges: DataFrame, keys: list[str], bits: Column) -> DataFrame:
+    ends = edges.select(*keys, F.col("source").alias("id"), F.col("target").alias("to"), bits.alias("edge_mask")).where("id is not null and `to` is not null")
+    return ends.groupBy(*keys, "id", "to").agg(F.bit_or("edge_mask").alias("edge_mask")).withColumn("len", F.lit(1).cast("long"))
+
+
 def walk(edges: DataFrame, seeds: DataFrame, keys=("repo",), mask: bool = False) -> DataFrame:
-    """Breadth-first closure. edges(*keys, source, target[, mask]), seeds(*keys, id[, mask]) -> (*keys, id[, mask]).
+    """Closure. edges(*keys, source, target[, mask]), seeds(*keys, id[, mask]) -> (*keys, id[, mask]).
 
-    With masks, a bit walks only edges that have it, and each node keeps the bits that reached it. A round takes HOPS steps
-    from the frontier in one job and is checkpointed once: its new bits, and those that its last step alone found, which are
-    the next frontier. Visited nodes stay where they were written; they are merged once in DELTAS rounds. Null ids are ignored.
+    With masks, a bit walks only edges that have it, and each node keeps the bits that reached it. The walk is breadth first over
+    edges bucketed by their source, so a hop moves its frontier only. A round takes HOPS steps in one job, and writes the visited
+    nodes, bucketed alike, with the bits that its last step alone found, which are the next frontier. After DEEP rounds all that isn't visited yet is contracted, once, so long chains
+    and rings take few rounds more. Null ids are ignored.
     """
-    by, one = [*keys, "id"], F.lit(1)
-    bits = F.col("mask") if mask else one
-    out = cut(edges.select(*keys, F.col("source").alias("id"), F.col("target").alias("to"), bits.alias("edge_mask")).where("id is not null and `to` is not null").groupBy(*by, "to").agg(F.bit_or("edge_mask").alias("edge_mask")))
-    frontier = cut(seeds.select(*by, bits.alias("mask")).where("id is not null").groupBy(*by).agg(F.bit_or("mask").alias("mask")))
-    seen = [frontier]
-    while not frontier.isEmpty():
-        steps, at = [], frontier
-        for hop in range(1, HOPS + 1):
-            step = at.join(out, by).select(*keys, F.col("to").alias("id"), F.col("mask").bitwiseAND(F.col("edge_mask")).alias("mask")).where("mask <> 0")
-            at = step.groupBy(*by).agg(F.bit_or("mask").alias("mask"))
-            steps.append(at.select(*by, "mask", (F.col("mask") if hop < HOPS else F.lit(0)).alias("early")))
-        found = _union(steps).groupBy(*by).agg(F.bit_or("mask").alias("found"), F.bit_or("early").alias("early"))
-        old = _union(seen)
-        if mask:
-            old = old.groupBy(*by).agg(F.bit_or("mask").alias("mask"))
-        new = F.col("found").bitwiseAND(F.bitwise_not(F.coalesce("mask", F.lit(0))))
-        fresh = found.join(old, by, "left").select(*by, new.alias("mask"), new.bitwiseAND(F.bitwise_not("early")).alias("last")).where("mask <> 0")
-        fresh = cut(fresh)
-        frontier = fresh.where("last <> 0").select(*by, F.col("last").alias("mask"))
-        seen.append(fresh.select(*by, "mask"))
-        if len(seen) > DELTAS:
-            seen = [cut(_union(seen).groupBy(*by).agg(F.bit_or("mask").alias("mask")))]
-    done = _union(seen)
-    return done.groupBy(*by).agg(F.bit_or("mask").alias("mask")) if mask else done.select(*by)
+    keys = list(keys)
+    by, bits, none = [*keys, "id"], F.col("mask") if mask else F.lit(1), F.lit(0)
+    first = seeds.select(*by, bits.alias("mask")).where("id is not null").groupBy(*by).agg(F.bit_or("mask").alias("mask"))
+    with bucketed(by) as store:
+        (out, whole), (known, plain), hung, rounds = store(_distinct_edges(edges, keys, bits), True), store(first.withColumn("last", F.col("mask"))), [], 0
+        while True:
+            frontier = plain.where("last <> 0").select(*by, F.col("last").alias("mask"))
+            if frontier.isEmpty():
+                break
+            if rounds == DEEP:
+                out, hung = contract(whole, plain.select(*by), keys)
+                out, _ = store(out, True)
+            steps, at = [], frontier
+            for hop in range(1, HOPS + 1):
+                step = at.join(out, by).select(*keys, F.col("to").alias("id"), F.col("mask").bitwiseAND(F.col("edge_mask")).alias("mask")).where("mask <> 0")
+                at = step.groupBy(*by).agg(F.bit_or("mask").alias("mask"))
+                steps.append(at.select(*by, "mask", (F.col("mask") if hop < HOPS else none).alias("early")))
+            found = _union(steps).groupBy(*by).agg(F.bit_or("mask").alias("found"), F.bit_or("early").alias("early"))
+            had, got = F.coalesce("mask", none), F.coalesce("found", none)
+            last = got.bitwiseAND(F.bitwise_not(had)).bitwiseAND(F.bitwise_not(F.coalesce("early", none)))
+            known, plain = store(known.drop("last").join(found, by, "full").select(*by, had.bitwiseOR(got).alias("mask"), last.alias("last")))
+            rounds += 1
+        done = plain.drop("last")
+    done = expand(done, hung, keys, "mask")
+    return done if mask else done.select(*by)
 
 
 def reach(edges: DataFrame, entries: DataFrame) -> DataFrame:
@@ -168,38 +261,54 @@ def infer_usage_states(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return known.unionByName(node_states(open_, walk(inner, seeds), effects), allowMissingColumns=True)
 
 
+def distances(edges: DataFrame, entries: DataFrame) -> DataFrame:
+    """(repo, id, depth): least number of edges from an entry to every node in reach.
+
+    As walk(), over edges with lengths, since a contracted graph's have: nodes are relaxed until none comes nearer, and what was
+    taken out hangs on one node by a known length.
+    """
+    keys, by = ["repo"], ["repo", "id"]
+    first = entries.select(*by, F.lit(0).cast("long").alias("depth"), F.lit(True).alias("fresh")).where("id is not null").distinct()
+    with bucketed(by) as store:
+        (out, whole), (known, plain), hung, rounds = store(_distinct_edges(edges, keys, F.lit(1)), True), store(first, True), [], 0
+        while True:
+            frontier = plain.where("fresh").select(*by, "depth")
+            if frontier.isEmpty():
+                break
+            if rounds == DEEP:
+                out, hung = contract(whole, plain.select(*by), keys)
+                out, _ = store(out, True)
+            steps, at = [], frontier
+            for _ in range(HOPS):
+                at = at.join(out, by).select("repo", F.col("to").alias("id"), (F.col("depth") + F.col("len")).alias("depth")).groupBy(*by).agg(F.min("depth").alias("depth"))
+                steps.append(at)
+            best = _union(steps).groupBy(*by).agg(F.min("depth").alias("near"))
+            fresh = F.coalesce(F.col("near") < F.col("depth"), F.col("depth").isNull()).alias("fresh")
+            known, plain = store(known.drop("fresh").join(best, by, "full").select(*by, F.least("depth", "near").alias("depth"), fresh))
+            rounds += 1
+        done = plain.drop("fresh")
+    return expand(done, hung, keys, "depth")
+
+
 def explain_path(edges: DataFrame, entries: DataFrame, targets: DataFrame) -> DataFrame:
     """(repo, target, path): a shortest path from an entry to each target, ties to the smaller parent; targets out of reach give none.
 
-    Both the search and the way back take HOPS steps a round; visited nodes are kept as in walk().
+    The way back takes twice as many rounds as the logarithm of the depth: ancestors at 1, 2, 4, ... steps are tables, made from each
+    other; a target's rows are then doubled from the largest step down, each ancestor once, and put in order at the end.
     """
     by = ["repo", "id"]
-    out = cut(edges.select("repo", F.col("source").alias("id"), F.col("target").alias("to")).distinct())
-    frontier, depth = cut(entries.select("repo", "id", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent")).where("id is not null").distinct()), 0
-    seen = [frontier]
-    while not frontier.isEmpty():
-        steps, at = [], frontier
-        for _ in range(HOPS):
-            depth += 1
-            at = at.join(out, by).groupBy("repo", F.col("to").alias("id")).agg(F.lit(depth).alias("depth"), F.min("id").alias("parent")).where("id is not null")
-            steps.append(at)
-        # the first step that finds a node is its distance, and all its parents there are one step nearer
-        first = _union(steps).groupBy(*by).agg(F.min(F.struct("depth", "parent")).alias("x")).select(*by, "x.depth", "x.parent")
-        fresh = cut(first.join(_union(seen).select(*by), by, "left_anti"))
-        frontier = fresh.where(F.col("depth") == depth)
-        seen.append(fresh)
-        if len(seen) > DELTAS:
-            seen = [cut(_union(seen))]
-    known = cut(_union(seen))
-    parents = known.select("repo", F.col("id").alias("next"), "parent")
-    todo = targets.select("repo", F.col("id").alias("target")).distinct().join(known.withColumnRenamed("id", "target"), ["repo", "target"]).select("repo", "target", F.array("target").alias("path"), F.col("parent").alias("next"))
-    ready = [todo.where("next is null")]
-    todo = todo.where("next is not null")
-    while not todo.isEmpty():
-        for _ in range(HOPS):
-            longer = F.when(F.col("next").isNotNull(), F.concat(F.array("next"), "path")).otherwise(F.col("path"))
-            todo = todo.join(parents, ["repo", "next"], "left").select("repo", "target", longer.alias("path"), F.col("parent").alias("next"))
-        todo = cut(todo)
-        ready.append(todo.where("next is null"))
-        todo = todo.where("next is not null")
-    return _union(ready).select("repo", "target", "path")
+    near = distances(edges, entries)
+    ends = edges.select("repo", F.col("source").alias("id"), F.col("target").alias("to")).where("id is not null and `to` is not null").distinct()
+    there = near.select("repo", F.col("id").alias("to"), F.col("depth").alias("there"))
+    parents = ends.join(near, by).join(there, ["repo", "to"]).where("there = depth + 1").groupBy("repo", F.col("to").alias("id")).agg(F.min("id").alias("up"))
+    rows = cut(targets.select(*by).distinct().join(near, by).select("repo", F.col("id").alias("target"), "id", F.lit(0).cast("long").alias("back"), "depth"))
+    deepest = rows.agg(F.max("depth")).first()[0] or 0
+    levels = [cut(parents)] if deepest else []
+    while 2 ** len(levels) <= deepest:
+        last = levels[-1]
+        levels.append(cut(last.join(last.select("repo", F.col("id").alias("up"), F.col("up").alias("up2")), ["repo", "up"]).select(*by, F.col("up2").alias("up"))))
+    for n in reversed(range(len(levels))):
+        up = rows.join(levels[n], by).select("repo", "target", F.col("up").alias("id"), (F.col("back") + 2**n).alias("back"), "depth")
+        rows = cut(rows.unionByName(up))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct((F.col("depth") - F.col("back")).alias("at"), "id"))), lambda x: x["id"])
+    return rows.groupBy("repo", "target").agg(ordered.alias("path"))
