@@ -134,16 +134,22 @@ def _ssn(f: Feistel, s: str, back: bool = False) -> str | None:
     return f"{area + 1 + (area >= 665):03d}-{group + 1:02d}-{serial + 1:04d}"
 
 
+#: Country codes of one and of two digits; all others have three.
+CODES_1, CODES_2 = "1 7".split(), "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
+
+
 def _phone(f: Feistel, s: str, back: bool = False) -> str | None:
-    d = re.sub(r"\D", "", s)
+    """The country code stays; a national number goes on beginning with 2 to 9."""
+    d = re.sub("[^0-9]", "", s)
     if s[0] == "+":
-        keep = 1 if d[0] in "17" else 2  # country codes of one digit are +1 and +7
+        keep = 1 if d[0] in CODES_1 else 2 if d[:2] in CODES_2 else 3
         if not 8 <= len(d) <= 15:
             return None
         return "+" + _fill(s[1:], d[:keep] + f.characters("phone", d[keep:], back))
     if len(d) != 10 or d[0] in "01":
         return None
-    return _fill(s, f.characters("phone", d, back))
+    first, *rest = f.digits("phone", [int(d[0]) - 2, *map(int, d[1:])], [8] + [10] * 9, back)
+    return _fill(s, "".join(map(str, [first + 2, *rest])))
 
 
 def _date(f: Feistel, s: str, back: bool = False) -> str | None:
@@ -177,18 +183,18 @@ def _email(f: Feistel, s: str, back: bool = False) -> str | None:
     return f"{f.characters('mail', local, back)}@{f.characters('host', name, back)}.{top}"
 
 
-#: kind, form, transformation; at one start the first that validates is taken.
+#: kind, form, transformation; digits are 0 to 9, other scripts' digits are no part of a value. At one start the first that validates is taken.
 KINDS = (
-    ("ip", re.compile(rf"(?<![\w.-])\d{{1,3}}\.\d{{1,3}}\.\d{{1,3}}\.\d{{1,3}}(?![\w-]|\.\d)"), _ip),
-    ("date", re.compile(rf"(?<![\w./-])(?:\d{{4}}-\d\d-\d\d|\d\d([./])\d\d\1\d{{4}})(?:(?![\w-]|[./]\d)|(?<=-\d\d)(?=T\d\d(?::?\d\d|(?!\w))))"), _date),
-    ("ssn", re.compile(rf"(?<![\w-])\d{{3}}-\d\d-\d{{4}}(?![\w-])"), _ssn),
-    ("phone", re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,5}\)[ .-]?)?\d(?:[ .-]?\d){4,13}|\(\d{3}\) ?\d{3}[-. ]\d{4}|\d{3}[-.]\d{3}[-.]\d{4})(?![\w-])"), _phone),
+    ("ip", re.compile(rf"(?<![\w.-])[0-9]{{1,3}}\.[0-9]{{1,3}}\.[0-9]{{1,3}}\.[0-9]{{1,3}}(?![\w-]|\.[0-9])"), _ip),
+    ("date", re.compile(rf"(?<![\w./-])(?:[0-9]{{4}}-[0-9][0-9]-[0-9][0-9]|[0-9][0-9]([./])[0-9][0-9]\1[0-9]{{4}})(?:(?![\w-]|[./][0-9])|(?<=-[0-9][0-9])(?=T[0-9][0-9](?::?[0-9][0-9]|(?!\w))))"), _date),
+    ("ssn", re.compile(rf"(?<![\w-])[0-9]{{3}}-[0-9][0-9]-[0-9]{{4}}(?![\w-])"), _ssn),
+    ("phone", re.compile(r"(?<![\w+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,5}\)[ .-]?)?[0-9](?:[ .-]?[0-9]){4,13}|\([0-9]{3}\) ?[0-9]{3}[-. ][0-9]{4}|[0-9]{3}[-.][0-9]{3}[-.][0-9]{4})(?![\w-])"), _phone),
 )
-_IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
-_GROUP = re.compile(r"\d+")
-_RUN = re.compile(r"(?<![\w-])\d+(?:[ -]\d+)*")
+_IBAN = re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
+_GROUP = re.compile(r"[0-9]+")
+_RUN = re.compile(r"(?<![\w-])[0-9]+(?:[ -][0-9]+)*")
 _MAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})*\.[A-Za-z]{2,24}(?![\w-])")
-_DIGITS = re.compile(r"\d{2}")
+_DIGITS = re.compile(r"[0-9]{2}")
 
 
 def card_spans(text: str):

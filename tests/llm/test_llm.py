@@ -563,3 +563,34 @@ def test_pii_beside_other_digits_and_words():
         new, counts = pii.pseudonymise(text, f)
         assert counts == {kind: 1} and value not in new and len(new) == len(text)
         assert [new.startswith(text[: text.index(value)]), new.endswith(text[text.index(value) + len(value) :])] == [True, True]
+
+
+def test_pii_is_found_again_as_the_same_kind():
+    """Values of every kind: the pseudonym has the form, is valid, is found as that kind, and turns back."""
+    f, rng = pii.Feistel(b"k"), random.Random(11)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+
+    def card():
+        body = rng.choice("3456") + digits(14)
+        return body + next(c for c in "0123456789" if not pii.luhn(body + c))
+
+    def iban():
+        body = rng.choice(("ES", "DE", "GB")), digits(18)
+        return f"{body[0]}{98 - pii.iban_rest(body[0] + '00' + body[1]):02d}{body[1]}"
+
+    make = {
+        "phone": lambda: rng.choice((f"({rng.randint(200, 999)}) {digits(3)}-{digits(4)}", f"{rng.randint(200, 999)}-{digits(3)}-{digits(4)}", f"+{rng.choice(('1', '44', '353', '971', '49'))} {digits(9)}")),
+        "card": card, "iban": iban, "ssn": lambda: f"{rng.randint(1, 665):03d}-{rng.randint(1, 99):02d}-{rng.randint(1, 9999):04d}", "ip": lambda: ".".join(str(rng.randint(0, 255)) for _ in range(4)),
+        "date": lambda: f"{rng.randint(1900, 2099)}-{rng.randint(1, 12):02d}-{rng.randint(1, 28):02d}", "email": lambda: f"{rng.choice('abc')}{digits(3)}.x@host{digits(2)}.example.com",
+    }
+    for kind, one in make.items():
+        for _ in range(300):
+            value = one()
+            new, counts = pii.pseudonymise(f"at {value} now", f)
+            assert counts == {kind: 1}, value
+            back, again = pii.pseudonymise(new, f, back=True)
+            assert again == {kind: 1} and back == f"at {value} now", (value, new)
+            if value.startswith("+"):
+                assert new[3:].split(" ")[0] == value.split(" ")[0]
+    for other in ("٤١١١١١١١١١١١١١١١", "٢٠٢٤-٠١-٠٢", "１２３-４５-６７８９"):
+        assert pii.pseudonymise(f"no {other}", f) == (f"no {other}", {})
