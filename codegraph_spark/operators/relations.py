@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import cut
+
 EXPORT_ITEM = "array<struct<seq:long,item:string>>"
 
 
@@ -143,7 +145,8 @@ def append_exports(direct: Column, referenced: Column) -> Column:
 
 
 def top_neighbors(edges: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """Each node's k neighbours of highest degree, ties by id."""
+    """Each node's k neighbours of highest degree, ties by id. Every task keeps the k best of a node before rows are moved (the
+    planner does so up to spark.sql.window.group.limit.threshold), so a hub's neighbours are never in one task."""
     w = Window.partitionBy("repo", "id").orderBy(F.desc("degree"), "neighbor")
     return neighbors(edges, nodes).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -201,8 +204,23 @@ def insights(nodes: DataFrame) -> DataFrame:
     )
 
 
+def numbered(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """df with i, a row's number among the rows of its keys in this order (from one), and n, how many they are.
+
+    Rows are dealt into ranges of (keys, order) of about equal size; each range numbers its own rows, and a running sum over the
+    ranges' counts, a row a range, tells what stands before it. So a key of any number of rows takes no task of its own.
+    """
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cut(df.repartitionByRange(ranges, *keys, *order).withColumn("__cg_part", F.spark_partition_id()))
+    part = [*keys, "__cg_part"]
+    counts = dealt.groupBy(*part).agg(F.count("*").alias("__cg_n"))
+    w = Window.partitionBy(*keys)
+    before = F.sum("__cg_n").over(w.orderBy("__cg_part").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select(*part, F.coalesce(before, F.lit(0).cast("long")).alias("__cg_before"), F.sum("__cg_n").over(w).alias("n"))
+    own = dealt.withColumn("__cg_i", F.row_number().over(Window.partitionBy(*part).orderBy(*order)))
+    return own.join(counts, part).select(*df.columns, (F.col("__cg_before") + F.col("__cg_i")).cast("int").alias("i"), "n")
+
+
 def search_nodes(nodes: DataFrame, text: str) -> DataFrame:
     """Matches of a substring in the id, in order: match i of n."""
-    hit = nodes.where(F.lower("id").contains(text.lower()))
-    w = Window.partitionBy("repo")
-    return hit.select("repo", "id", F.row_number().over(w.orderBy("id")).alias("i"), F.count("*").over(w).alias("n"))
+    return numbered(nodes.where(F.lower("id").contains(text.lower())).select("repo", "id"), ["repo"], ["id"])

@@ -10,15 +10,22 @@ from pyspark.sql import functions as F
 from ..functions import paths as P
 from ..operators.documents import adapt_report
 
-#: Folders that hold no sources of a project.
-IGNORED_FOLDERS = {"js": ("node_modules", "dist", "build", ".git", "coverage", ".next", "out", ".turbo", ".vite", ".parcel-cache")}
-#: What is left out for the other languages.
-IGNORED_BY_DEFAULT = (".git", "node_modules", "build", "dist", "target", "vendor", ".venv", "venv", "__pycache__", ".dart_tool", "bin", "obj")
+#: Folders of a language's projects that hold no sources.
+IGNORED_FOLDERS = {
+    "js": "node_modules dist build .git coverage .next out .turbo .vite .parcel-cache".split(),
+    "py": "node_modules dist build target out .git .idea .venv venv __pycache__ .mypy_cache .pytest_cache .ruff_cache .tox".split(),
+    "go": "vendor node_modules dist build target out .git .idea .vscode .cache .turbo .parcel-cache".split(),
+    "rs": "target node_modules dist build out .git .idea .vscode .cache".split(),
+    "java": "node_modules dist build target out .git .idea .gradle .mvn .turbo .vite .parcel-cache".split(),
+    "kt": ".git .svn .hg .idea .gradle .vscode .cache .turbo .parcel-cache build dist out target node_modules".split(),
+    "cs": "bin obj .git .svn .hg .vs .idea .vscode .cache packages node_modules dist out artifacts TestResults".split(),
+    "dart": ".dart_tool .git .idea .vscode .cache build dist node_modules out android ios macos linux windows".split(),
+}
 
 
 def wanted(path: Column, lang: str) -> Column:
     """Has an extension of the language and lies in no ignored folder."""
-    ignored = F.array(*map(F.lit, IGNORED_FOLDERS.get(lang, IGNORED_BY_DEFAULT)))
+    ignored = F.array(*map(F.lit, IGNORED_FOLDERS[lang]))
     parts = F.split(path, "/")
     return P.is_source(path, lang) & ~F.arrays_overlap(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), ignored)
 

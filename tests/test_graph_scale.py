@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from codegraph_spark.operators import graph
+from codegraph_spark.operators import graph, relations
 
 EDGE = "repo string, source string, target string, mask int"
 
@@ -76,3 +76,24 @@ def test_a_hop_moves_no_edges(spark):
         frontier = spark.createDataFrame([("r", f"{n}") for n in range(5)], "repo string, id string")
         plan = frontier.hint("merge").join(out, ["repo", "id"])._jdf.queryExecution().executedPlan().toString()
     assert "Bucketed: true" in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_numbers_of_one_large_repo(spark):
+    rng = random.Random(4)
+    ids = [f"n{rng.randrange(10**6)}" for _ in range(3000)]
+    rows = [("big", i) for i in dict.fromkeys(ids)] + [("small", "n1"), ("small", "n0")]
+    got = {(r["repo"], r["id"]): (r["i"], r["n"]) for r in relations.search_nodes(spark.createDataFrame(rows, "repo string, id string").repartition(3), "N").collect()}
+    want = {}
+    for repo in ("big", "small"):
+        own = sorted(i for r, i in rows if r == repo)
+        want |= {(repo, i): (n + 1, len(own)) for n, i in enumerate(own)}
+    assert got == want
+    assert relations.search_nodes(spark.createDataFrame([], "repo string, id string"), "n").count() == 0
+
+
+def test_a_hub_is_cut_down_before_it_moves(spark):
+    edges = spark.range(3000).select(F.lit("r").alias("repo"), F.lit("hub").alias("source"), F.col("id").cast("string").alias("target"))
+    nodes = edges.select("repo", F.col("target").alias("id")).union(spark.createDataFrame([("r", "hub")], "repo string, id string"))
+    top = relations.top_neighbors(edges, nodes, 3)
+    assert "Partial" in (plan := top._jdf.queryExecution().executedPlan().toString()) and "WindowGroupLimit" in plan
+    assert [r["neighbor"] for r in top.where("id = 'hub'").orderBy("rank").collect()] == ["0", "1", "10"]
