@@ -50,7 +50,16 @@ _OUTSIDE = re.compile(
     r"|promos?|related|share|social|subscribe|newsletter|popup|modal|complementary|contentinfo|breadcrumbs?)(?:$|[\s_-])",
     re.I,
 )
-_FRAME = re.compile(r"(?<!\S)(?!(?:article|post|entry|story|content)[_-])(?:[^\s]*[_-])?(?:banner|footer|header|masthead)(?:$|[\s_-])", re.I)
+_FRAME = re.compile(r"(?<!\S)(?:(?:[^\s]*[_-])?footer|(?!(?:article|post|entry|story|content)[_-])(?:[^\s]*[_-])?(?:banner|header|masthead))(?:$|[\s_-])", re.I)
+#: Within an article only names that say nothing else count, and only to their end: a section on related work, a discussion or
+#: responses to a treatment are text.
+_INSIDE = re.compile(
+    r"(?<!\S)(?:ads?|comment|cookie-notice|notice|menu|nav|navbar|navigation|breadcrumbs?|share|social|subscribe|promo|popup|modal|disqus|complementary|contentinfo|(?:site|page)[_-]header"
+    r"|(?:[^\s]*[_-])?(?:adverts?|advertisement|banner|comments|cookies?|footer|newsletter|replies|reviews|sidebar))(?!\S)",
+    re.I,
+)
+#: Elements of other vocabularies: a slash at the end of the tag closes them.
+_FOREIGN = {"svg", "math"}
 _HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)"
 BOILERPLATE, NEUTRAL, ARTICLE = 0, 1, 2
 
@@ -80,6 +89,8 @@ def blocks(page: str) -> list[tuple[int, str]]:
         if m[2] is None:
             continue
         tag, closing = m[2].lower(), bool(m[1])
+        if tag in _FOREIGN and m[3].endswith("/"):
+            continue
         if tag in _RAW and not closing:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
             at = end.end() if end else n
@@ -96,7 +107,12 @@ def blocks(page: str) -> list[tuple[int, str]]:
                     del stack[i:]
                     break
         elif tag not in _VOID and not m[3].endswith("/"):
-            hidden = tag in _SKIP or any(_OUTSIDE.search(x) or _FRAME.search(x) for x in (y.strip("\"'") for y in _NAMED.findall(m[3]))) and tag not in ("html", "body", "article", "main")
+            names = [x.strip("\"'") for x in _NAMED.findall(m[3])]
+            if article:  # an article within one is a reader's comment where its names say so
+                marked = any(_INSIDE.search(x) for x in names)
+            else:
+                marked = tag not in ("html", "body", "article", "main") and any(_OUTSIDE.search(x) or _FRAME.search(x) for x in names)
+            hidden = tag in _SKIP or marked
             mark = tag in ("article", "main")
             stack.append((tag, hidden, mark))
             skip, article = skip + hidden, article + mark
