@@ -44,8 +44,9 @@ def marked(text: Column, pattern: str, over: str = "") -> Column:
     return F.replace(F.regexp_replace(clean, f"({pattern})|({over})", f"{BEGIN}$1{END}$2"), F.lit(BEGIN + END), F.lit(""))
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """array<struct<line, text>> of a pattern's matches, line counted from one; linear in the text, however many there are."""
+def matches(text: Column, pattern: str, over: str = "") -> Column:
+    """array<struct<line, text>> of a pattern's matches, line counted from one; linear in the text, however many there are. over as
+    in marked()."""
     number = lambda x, i: F.replace(x, F.lit(BEGIN), F.concat(F.lit(BEGIN), (i + 1).cast("string"), F.lit(":")))
     part = lambda x: F.struct(F.substring_index(x, ":", 1).cast("int").alias("line"), F.regexp_extract(x, f"(?s)^\\d+:(.*?){END}", 1).alias("text"))
 
@@ -53,7 +54,7 @@ def matches(text: Column, pattern: str) -> Column:
         numbered = F.array_join(F.transform(F.split(m, "\n"), number), "\n")
         return F.when(m.contains(BEGIN), F.transform(F.filter(F.split(numbered, BEGIN), lambda _, i: i > 0), part)).otherwise(F.array().cast("array<struct<line:int,text:string>>"))
 
-    return bind(marked(text, pattern), cut)
+    return bind(marked(text, pattern, over), cut)
 
 
 def line_of_match(text: Column, pattern: str) -> Column:

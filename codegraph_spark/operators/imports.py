@@ -17,6 +17,14 @@ JS_FORMS = (
     ("reexport", rf"^\s*export\s+\*(?:\s+as\s+[\w$]+)?\s+from\s+{_Q}"),
 )
 JS_CALLS = (("require", rf"\brequire\s*\(\s*{_Q}\s*\)"), ("dynamic", rf"\bimport\s*\(\s*{_Q}\s*\)"))
+#: Imports and re-exports of a list of names, which may go over several lines; and what is passed over where no such list follows.
+JS_LISTS = r"""(?m)^[ \t]*(?:export|import)\s+(?:type\s+)?(?:[\w$]+\s*,\s*)?\{[^}"'`;]*\}\s*from\s*["'`][^"'`\n]+["'`]"""
+JS_NO_LIST = r"""(?m)^[ \t]*(?:export|import)\s[^}"'`;]*+"""
+#: A directive up to its semicolon, which may be on a later line, but not behind the next directive; else its line.
+DART_DIRECTIVES = (
+    r"""(?m)^[ \t]*(?:import|export|part\s+of|part)\s+["'][^"'\n]+["']"""
+    r"""(?:(?:[^;"'{}\n]++|\n(?!\s*(?:import|export|part|library)\b)|"[^"\n]*+"|'[^'\n]*+')*+;|[^\n]*)"""
+)
 #: One line that says where a program starts.
 MAIN = {
     "py": r"""(?m)^if\s+__name__\s*==\s*["']__main__["']""",
@@ -40,6 +48,13 @@ def lines(src: DataFrame, content: Column | None = None) -> DataFrame:
     return src.select("repo", "path", F.posexplode(F.split(text, "\n")).alias("n", "code")).select("repo", "path", (F.col("n") + 1).alias("line_no"), F.regexp_replace("code", "\r$", "").alias("code"))
 
 
+def statements(src: DataFrame, content: Column, pattern: str, over: str = "") -> DataFrame:
+    """(repo, path, line_no, code, spans): every match of a statement, from its first line on, written on one line; spans tells
+    whether it went over several."""
+    found = src.select("repo", "path", F.explode(T.matches(content, pattern, over)).alias("m"))
+    return found.select("repo", "path", F.col("m.line").alias("line_no"), F.trim(F.regexp_replace("m.text", r"\s+", " ")).alias("code"), F.trim("m.text").contains("\n").alias("spans"))
+
+
 def _group(pattern: str, n: int = 1) -> Column:
     return some(F.regexp_extract("code", pattern, n))
 
@@ -66,8 +81,11 @@ def _calls(kind: str, pattern: str) -> Column:
 
 def js_imports(src: DataFrame) -> DataFrame:
     """(repo, path, line, ord, kind, spec) and the clause's names. The first import or re-export form ends its line; only
-    where none fits do all require() and import() calls of the line count."""
-    rows = lines(src, T.js_strip_comments(F.col("content"))).where(F.col("code").rlike(r"\b(?:import|export|require)\b"))
+    where none fits do all require() and import() calls of the line count. Imports and re-exports of a list of names that goes over
+    several lines count on their first line."""
+    plain = T.js_strip_comments(F.col("content"))
+    rows = lines(src, plain).where(F.col("code").rlike(r"\b(?:import|export|require)\b"))
+    rows = rows.unionByName(statements(src, plain, JS_LISTS, JS_NO_LIST).where("spans").drop("spans"))
     form = F.coalesce(*[F.when(F.col("code").rlike(p), F.array(F.struct(F.lit(k).alias("kind"), F.regexp_extract("code", p, 1).alias("spec")))) for k, p in JS_FORMS])
     calls = F.concat(*[_calls(kind, pattern) for kind, pattern in JS_CALLS])
     clause = F.regexp_extract("code", r"^\s*import\s+([^\"'`;]+?)\s+from\s", 1)
@@ -145,9 +163,12 @@ def csharp_imports(src: DataFrame) -> DataFrame:
 
 
 def dart_imports(src: DataFrame) -> DataFrame:
-    """(repo, path, line, kind, spec, alias, deferred, show, hide): import, export and part directives (`part of`: part_of)."""
+    """(repo, path, line, kind, spec, alias, deferred, show, hide): import, export and part directives (`part of`: part_of).
+
+    A directive goes on to its semicolon, over as many lines as it takes; a conditional import counts by its first name.
+    """
     pattern = r"""^\s*(import|export|part\s+of|part)\s+["']([^"']+)["']"""
-    rows = lines(src).where(F.col("code").rlike(pattern))
+    rows = statements(src, F.regexp_replace("content", "\r\n", "\n"), DART_DIRECTIVES)
     kind = F.regexp_replace(_group(pattern), r"\s+", "_")
     names = lambda word: F.flatten(F.transform(F.regexp_extract_all("code", F.lit(rf"\s{word}\s+([\w\s,]+?)(?=\s+(?:show|hide)\s|\s*;|$)"), F.lit(1)), lambda x: F.split(F.trim(x), r"\s*,\s*")))
     return rows.select(

@@ -40,6 +40,27 @@ def js_imports(spark, d):
     return found.selectExpr("repo", "path", "line", "kind", "spec", "default_name", "array_join(named, ',') AS named")
 
 
+REEXPORTS = _sources("'export {' || chr(10) || '  a as b, // first' || chr(10) || '  type T' || chr(10) || '} from \"./f' || CAST(doc_id + 1 AS STRING) || '\";'", ".js")
+DIRECTIVES = _sources(
+    "'import \"f' || CAST(doc_id + 1 AS STRING) || '.dart\"' || chr(10) || '    if (dart.library.io) \"io.dart\"' || chr(10) || '    deferred as g show X,' || chr(10) || '    Y;' || chr(10) || 'part \"p.dart\";'", ".dart"
+)
+
+
+@query(f"SELECT source AS repo, 'src/f' || CAST(doc_id AS STRING) || '.js' AS path, {_LINE} AS line, 'reexport' AS kind, './f' || CAST(doc_id + 1 AS STRING) AS spec FROM documents")
+def js_reexports(spark, d):
+    """Re-exports over several lines, on their first line."""
+    return I.js_imports(frame(spark, d, REEXPORTS)).select("repo", "path", "line", "kind", "spec")
+
+
+@query(
+    f"""SELECT source AS repo, 'src/f' || CAST(doc_id AS STRING) || '.dart' AS path, CAST({_LINE} + x.n AS INT) AS line, x.kind, CASE x.n WHEN 0 THEN 'f' || CAST(doc_id + 1 AS STRING) || '.dart' ELSE 'p.dart' END AS spec,
+    CASE x.n WHEN 0 THEN 'g' END AS alias, x.n = 0 AS deferred, CASE x.n WHEN 0 THEN 'X,Y' ELSE '' END AS shown FROM documents, (VALUES (0, 'import'), (4, 'part')) x(n, kind)"""
+)
+def dart_directives(spark, d):
+    """Directives over several lines and conditional imports, with their prefix and names."""
+    return I.dart_imports(frame(spark, d, DIRECTIVES)).selectExpr("repo", "path", "line", "kind", "spec", "alias", "deferred", "array_join(show, ',') AS shown")
+
+
 @query(f"SELECT source AS repo, 'src/f' || CAST(doc_id AS STRING) || '.py' AS path, {_LINE} AS line, 'from_relative' AS kind, 'f' || CAST(doc_id + 1 AS STRING) AS module, 'a' AS name, 'b' AS alias, 1 AS rel_dots, false AS star FROM documents")
 def py_imports(spark, d):
     return I.py_imports(frame(spark, d, PY))

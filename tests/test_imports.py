@@ -76,3 +76,18 @@ def test_rust_and_static_usings(spark):
     anchors = spark.createDataFrame([("r", "X", "x.cs")], "repo string, namespace string, anchor string")
     got = {(r["target"], r["kind"]) for r in resolve.resolve_csharp(imports.csharp_imports(cs), anchors, paths).collect()}
     assert got == {("src/A/B/C.cs", "using_static"), ("dotnet:System", "using_static"), ("x.cs", "using")}
+
+
+def test_statements_over_several_lines(spark):
+    text = "export {\n  a,\n  b as c\n} from './x';\nimport D, {\n  type T, // a comment\n  u as v\n} from '../y';\nexport { q } from './one';\nexport {\n  local\n};\nimport('z')\n"
+    got = I.js_imports(_src(spark, ("m.js", text), ("n.js", None), ("o.js", "export {\n" * 3)))
+    assert _pairs(got, "line", "kind", "spec") == [(1, "reexport", "./x"), (5, "import", "../y"), (9, "reexport", "./one"), (13, "dynamic", "z")]
+    two = got.where("line = 5").first()
+    assert (two.default_name, two.named, two.named_original, two.type_only) == ("D", ["T", "v"], ["T", "u"], ["T"])
+    text = "import 'a.dart'\n    if (dart.library.io) 'b.dart'\n    as p show X,\n    Y hide Z;\r\nexport 'c.dart'\nimport 'd.dart' deferred as q;\npart of 'e.dart';\nvar s = 1;\n"
+    got = I.dart_imports(_src(spark, ("m.dart", text), ("n.dart", None)))
+    assert [tuple(r) for r in got.orderBy("line").select("line", "kind", "spec", "alias", "deferred", "show", "hide").collect()] == [
+        (1, "import", "a.dart", "p", False, ["X", "Y"], ["Z"]), (5, "export", "c.dart", None, False, [], []), (6, "import", "d.dart", "q", True, [], []), (7, "part_of", "e.dart", None, False, [], []),
+    ]
+    long = "export {\n" * 30_000 + "import 'x'\n" * 30_000
+    assert I.js_imports(_src(spark, ("m.js", long))).count() == 30_000 and I.dart_imports(_src(spark, ("m.dart", long))).count() == 30_000
