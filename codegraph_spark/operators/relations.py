@@ -114,6 +114,12 @@ def graph_stats(nodes: DataFrame, edges: DataFrame, used_states=("used",)) -> Da
     return n.join(edges.groupBy("repo").agg(F.count("*").alias("edges")), "repo", "left").withColumn("edges", F.coalesce("edges", F.lit(0).cast("long")))
 
 
+def graph_totals(stats: DataFrame) -> DataFrame:
+    """One row over all repos of graph_stats(): their number, sums of the counts, and the largest degree; no repos: zeros."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0).cast("long")).alias(c)
+    return stats.agg(F.count("*").alias("repos"), *map(total, ("nodes", "edges", "used", "unused", "externals")), F.coalesce(F.max("max_degree"), F.lit(0).cast("long")).alias("max_degree"))
+
+
 def security_summary(findings: DataFrame, severity: str = "severityNormalized") -> DataFrame:
     """One row per repo: totals, and the counts of each severity as a map."""
     by = findings.groupBy("repo", severity).agg(F.count("*").alias("n"))

@@ -94,6 +94,11 @@ def graph_stats(spark, d):
     return R.graph_stats(states(spark, d), edges(spark, d))
 
 
+@query("SELECT count(DISTINCT repo) AS repos, count(*) AS nodes, CAST((SELECT count(*) FROM edges) AS BIGINT) AS edges, count(*) FILTER (state = 'used') AS used, count(*) FILTER (state = 'unused') AS unused, CAST(0 AS BIGINT) AS externals, max(inDeg + outDeg) AS max_degree FROM st")
+def graph_totals(spark, d):
+    return R.graph_totals(R.graph_stats(states(spark, d), edges(spark, d)))
+
+
 @query("SELECT repo, id, inDeg, outDeg FROM deg")
 def degrees(spark, d):
     return R.degrees(nodes(spark, d), edges(spark, d)).select("repo", "id", "inDeg", "outDeg")

@@ -91,3 +91,10 @@ def test_statements_over_several_lines(spark):
     ]
     long = "export {\n" * 30_000 + "import 'x'\n" * 30_000
     assert I.js_imports(_src(spark, ("m.js", long))).count() == 30_000 and I.dart_imports(_src(spark, ("m.dart", long))).count() == 30_000
+
+
+def test_kotlin_modifiers(spark):
+    from codegraph_spark.operators import modules
+
+    src = _src(spark, *[(f"{n}.kt", f"package p\n{code}\n") for n, code in enumerate(("sealed class A", "abstract class B {", "public open class C", "internal sealed interface D", "data object E", "enum class F", "fun interface G", "val x = 1"))])
+    assert [r["fqn"] for r in modules.jvm_names(src, "kt").orderBy("path").collect()] == [f"p.{x}" for x in "ABCDEFG"] + ["p"]

@@ -79,7 +79,7 @@ def hostile(rules, size):
 def check_linear(spark, run, rules):
     """A text four times as long may take some eight times as long, never the sixteen of a square."""
     took = []
-    for size in (20_000, 80_000, 320_000):
+    for size in (10_000, 40_000, 160_000):
         texts = hostile(rules, size)
         src = spark.createDataFrame([("r", f"{n}", t) for n, t in enumerate(texts)], "repo string, path string, content string").repartition(8).cache()
         src.count()
