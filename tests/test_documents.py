@@ -79,3 +79,19 @@ def test_manifests(spark):
     risks = {(r["risk"], r["name"], r["detail"]): r["via"] for r in M.package_risks(m).collect()}
     assert set(risks) == {("looseVersions", "a", "^1"), ("riskyScripts", "postinstall", "curl http://x"), ("installScripts", "postinstall", "curl http://x"), ("deprecatedPackages", "old", "later"), ("knownVulnerabilities", "v", "high"), ("knownVulnerabilities", "w", "low")}
     assert risks["knownVulnerabilities", "v", "high"] == ["p", '{"q":1}', "r"]
+
+
+def test_nested_exports_merge(spark):
+    """Lists join, maps merge key by key, other kinds and scalars are replaced by the newest, nulls change nothing."""
+    rounds = (
+        {"exports": {"lib\\f.js": {"a": ["x", {"n": 1}], "m": {"k": {"deep": ["p"], "one": 1}, "gone": [1]}, "s": "old", "l": ["first"], "e": {}}}},
+        {"exports": {"lib/f.js": {"a": [{"n": 1}, "y", "x"], "m": {"k": {"deep": ["q", "p"], "two": None}, "gone": 5}, "s": None, "l": "text"}}},
+        {"exports": {"lib/f.js": {"m": {"k": {"one": 2}}, "s": "new", "l": ["again"], " ": [1]}, "lib/g.js": {"only": None, "q\"": [[1, 2], [1, 2]]}}},
+        {"exports": [1]}, {"nodes": []}, "broken",
+    )
+    got = {(r["path"], r["grp"]): json.loads(r["value"]) for r in D.merge_export_groups(docs(spark, *rounds)).collect()}
+    assert got == {
+        ("lib/f.js", "a"): ["x", {"n": 1}, "y"], ("lib/f.js", "m"): {"gone": 5, "k": {"deep": ["p", "q"], "one": 2}}, ("lib/f.js", "s"): "new", ("lib/f.js", "l"): ["again"],
+        ("lib/f.js", "e"): {}, ("lib/g.js", 'q"'): [[1, 2]],
+    }
+    assert D.merge_export_groups(docs(spark, rounds[0]).limit(0)).count() == 0
