@@ -122,7 +122,7 @@ def py_exports(src: DataFrame) -> DataFrame:
     again = imports.where("not star").select("repo", "path", F.lit("reexports").alias("grp"), local.alias("name"), F.col("from").alias("kind"), "line")
     stars = imports.where("star").select("repo", "path", F.lit("starImports").alias("grp"), F.col("from").alias("name"), F.lit(None).cast("string").alias("kind"), "line")
     public = own.unionByName(again).where(F.col("name").isNotNull() & ~F.col("name").startswith("_"))
-    names = src.select("repo", "path", F.explode(F.array_distinct(F.flatten(F.transform(_dunder_all(F.col("content")), lambda b: _all(b, rf"{_Q}([^\"']+){_Q}"))))).alias("name"))
+    names = src.select("repo", "path", F.explode(F.array_distinct(F.flatten(F.transform(_dunder_all(T.strip_triple_quoted(F.col("content"))), lambda b: _all(b, rf"{_Q}([^\"']+){_Q}"))))).alias("name"))
     return public.unionByName(stars).unionByName(names.select("repo", "path", F.lit("all").alias("grp"), "name", F.lit(None).cast("string").alias("kind"), F.lit(None).cast("int").alias("line")))
 
 
@@ -133,7 +133,7 @@ def _dunder_all(content: Column) -> Column:
 
 def py_export_certainty(src: DataFrame) -> DataFrame:
     """(repo, path, has_all, uncertain): uncertain where __all__ has a statement without literal names, or a star import is there."""
-    said = F.coalesce(_dunder_all(F.col("content")), F.array().cast("array<string>"))
+    said = F.coalesce(_dunder_all(T.strip_triple_quoted(F.col("content"))), F.array().cast("array<string>"))
     flags = src.select("repo", "path", (F.size(said) > 0).alias("has_all"), F.exists(said, lambda b: ~b.rlike(_Q)).alias("vague"))
     stars = py_imports(src).where("star").select("repo", "path", F.lit(True).alias("starred")).distinct()
     return flags.join(stars, ["repo", "path"], "left").select("repo", "path", "has_all", (F.col("vague") | F.coalesce("starred", F.lit(False))).alias("uncertain"))

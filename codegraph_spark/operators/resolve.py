@@ -62,12 +62,43 @@ def resolve_python(imports: DataFrame, repo_paths: DataFrame) -> DataFrame:
     return _edges(_resolve(imports, F.when(base.isNull(), empty).otherwise(keys), module_lookup(repo_paths)), outside, "heuristic")
 
 
-def resolve_go(imports: DataFrame, files: DataFrame, modules: DataFrame) -> DataFrame:
-    """Edges of Go imports: a path below the repo's module leads to all files of that folder but its tests; else external."""
+#: Begins the ids of nodes that stand for all files of a package; no path does.
+PACKAGE = "package:"
+
+
+def _through_packages(wanted: DataFrame, members: DataFrame, keys: list[str], name: Column, outside: Column) -> DataFrame:
+    """Edges from imports to packages and, once a package, from these to its files: as many as imports and files, where leading
+    every import to every file would make their product. members(*keys, hit) are the files of packages; name is a package's."""
+    inside = members.select(*keys).distinct().withColumn("hit", F.concat(F.lit(PACKAGE), name))
+    ends = _edges(wanted.join(inside, keys, "left"), outside)
+    asked = members.join(wanted.select(*keys).distinct(), keys, "left_semi")
+    held = asked.select("repo", F.concat(F.lit(PACKAGE), name).alias("source"), F.col("hit").alias("target"), F.lit("package").alias("kind"), F.lit("static").alias("certainty"), F.lit(True).alias("internal")).distinct()
+    return ends.unionByName(held, allowMissingColumns=True)
+
+
+def package_degrees(edges: DataFrame) -> DataFrame:
+    """(repo, id, inDeg, outDeg) of files and externals, from edges through packages: those that the graph without packages has,
+    in which every import of a package leads to each of its files."""
+    held = edges.where("kind = 'package'").select("repo", F.col("source").alias("package"), "target")
+    direct = edges.where("kind <> 'package'")
+    sizes = held.groupBy("repo", "package").agg(F.count("*").alias("size"))
+    sent = direct.join(sizes.withColumnRenamed("package", "target"), ["repo", "target"], "left").groupBy("repo", F.col("source").alias("id")).agg(F.sum(F.coalesce("size", F.lit(1))).cast("long").alias("outDeg"))
+    asked = direct.groupBy("repo", "target").agg(F.count("*").alias("n"))
+    got = held.join(asked.withColumnRenamed("target", "package"), ["repo", "package"]).select("repo", F.col("target").alias("id"), "n")
+    got = got.unionByName(asked.where(~F.col("target").startswith(PACKAGE)).select("repo", F.col("target").alias("id"), "n")).groupBy("repo", "id").agg(F.sum("n").alias("inDeg"))
+    zero = F.lit(0).cast("long")
+    return got.join(sent, ["repo", "id"], "full").select("repo", "id", F.coalesce("inDeg", zero).alias("inDeg"), F.coalesce("outDeg", zero).alias("outDeg"))
+
+
+def resolve_go(imports: DataFrame, files: DataFrame, modules: DataFrame, packages: bool = False) -> DataFrame:
+    """Edges of Go imports: a path below the repo's module leads to all files of that folder but its tests; else external.
+    packages: through one node a package, see _through_packages()."""
     known = imports.join(modules.groupBy("repo").agg(F.min("module").alias("module")), "repo", "left")
     inside = (F.col("spec") == F.col("module")) | F.col("spec").startswith(F.concat("module", F.lit("/")))
     known = known.withColumn("dir", F.when(inside, F.expr("ltrim('/', substring(spec, length(module) + 1))")))
     there = files.where(F.col("path").endswith(".go") & ~F.col("path").endswith("_test.go")).select("repo", P.dirname(F.col("path")).alias("dir"), F.col("path").alias("hit"))
+    if packages:
+        return _through_packages(known, there, ["repo", "dir"], F.col("dir"), P.external_id("go", F.col("spec")))
     return _edges(known.join(there, ["repo", "dir"], "left"), P.external_id("go", F.col("spec")))
 
 
@@ -85,17 +116,23 @@ def resolve_fqn(imports: DataFrame, names: DataFrame, lang: str = "java", repo_p
     return _edges(found, P.external_id(lang, F.col("fqn")))
 
 
-def resolve_wildcard(imports: DataFrame, names: DataFrame, lang: str = "java") -> DataFrame:
+def resolve_wildcard(imports: DataFrame, names: DataFrame, lang: str = "java", packages: bool = False) -> DataFrame:
     """Edges of `a.b.*`: every name below the prefix. Each name's own prefixes are exploded, so the join is by equality. Kotlin's
     also lead to what has exactly that name or package and, where none of these is there, to the files of the package's folder.
+    packages: through one node a prefix, see _through_packages().
     """
     parts = F.split("fqn", r"\.")
     lengths = F.sequence(F.lit(1), F.greatest(F.size(parts) - (0 if lang == "kt" else 1), F.lit(1)))
     prefixes = F.transform(lengths, lambda n: F.array_join(F.slice(parts, 1, n), "."))
     below = names.where("fqn is not null").select("repo", F.explode(prefixes).alias("spec"), F.col("path").alias("hit"))
     wild = imports.where("kind = 'import_wildcard'")
+
+    def lead(members: DataFrame) -> DataFrame:
+        outside = P.external_id(lang, F.col("spec"))
+        return _through_packages(wild, members, ["repo", "spec"], F.col("spec"), outside) if packages else _edges(wild.join(members, ["repo", "spec"], "left"), outside)
+
     if lang != "kt":
-        return _edges(wild.join(below, ["repo", "spec"], "left"), P.external_id(lang, F.col("spec")))
+        return lead(below)
     if "package" in names.columns:
         below = below.unionByName(names.where("package is not null").select("repo", F.col("package").alias("spec"), F.col("path").alias("hit"))).distinct()
     folders = names.select("repo", P.dirname(F.col("path")).alias("path")).distinct()
@@ -103,7 +140,7 @@ def resolve_wildcard(imports: DataFrame, names: DataFrame, lang: str = "java") -
     missed = wild.select("repo", "spec").distinct().join(below.select("repo", "spec").distinct(), ["repo", "spec"], "left_anti").select("repo", "spec")
     there = _resolve(missed, F.array(*[F.concat(F.lit(f"{root}/" if root else ""), file) for root in KOTLIN_ROOTS]), folders).where("hit is not null")
     inside = there.join(names.select("repo", P.dirname(F.col("path")).alias("hit"), "path"), ["repo", "hit"]).select("repo", "spec", F.col("path").alias("hit"))
-    return _edges(wild.join(below.unionByName(inside), ["repo", "spec"], "left"), P.external_id(lang, F.col("spec")))
+    return lead(below.unionByName(inside))
 
 
 def resolve_rust(imports: DataFrame, repo_paths: DataFrame, dependencies: DataFrame) -> DataFrame:

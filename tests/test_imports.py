@@ -98,3 +98,26 @@ def test_kotlin_modifiers(spark):
 
     src = _src(spark, *[(f"{n}.kt", f"package p\n{code}\n") for n, code in enumerate(("sealed class A", "abstract class B {", "public open class C", "internal sealed interface D", "data object E", "enum class F", "fun interface G", "val x = 1"))])
     assert [r["fqn"] for r in modules.jvm_names(src, "kt").orderBy("path").collect()] == [f"p.{x}" for x in "ABCDEFG"] + ["p"]
+
+
+def test_packages_stand_for_their_files(spark):
+    """Through packages: fewer edges, and the degrees and the reach of the graph in which every import leads to every file."""
+    from pyspark.sql import functions as F
+
+    from codegraph_spark.operators import graph
+
+    files = _src(spark, *[(f"util/f{n}.go", "package util\n" + ('import "ex.com/m/deep"\n' if n == 3 else "")) for n in range(6)], *[(f"deep/d{n}.go", "package deep\n") for n in range(4)],
+                 *[(f"main{n}.go", 'package main\nimport (\n  "fmt"\n  "ex.com/m/util"\n)\n') for n in range(5)])
+    mods = I.manifest_names(_src(spark, ("go.mod", "module ex.com/m\n")))
+    wide, narrow = (X.resolve_go(I.go_imports(files), files, mods, packages=p) for p in (False, True))
+    assert wide.count() == 5 * (1 + 6) + 4 and narrow.count() == 5 * (1 + 1) + 1 + 6 + 4
+    ends = wide.select("repo", F.col("source").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")).union(wide.select("repo", "target", F.lit(0), F.lit(1)))
+    want = sorted(map(tuple, ends.groupBy("repo", "id").agg(F.sum("i"), F.sum("o")).collect()))
+    assert sorted(map(tuple, X.package_degrees(narrow).collect())) == want
+    entry = spark.createDataFrame([("r", "main0.go")], "repo string, id string")
+    assert _pairs(graph.reach(narrow, entry).where(~F.col("id").startswith(X.PACKAGE)), "id") == _pairs(graph.reach(wide, entry), "id")
+    java = I.jvm_imports(_src(spark, ("A.java", "import a.*;\nimport a.b.*;\nimport z.*;\n")))
+    names = spark.createDataFrame([("r", "a.b.C", "a/b/C.java"), ("r", "a.b.D", "a/b/D.java"), ("r", "a.E", "a/E.java")], "repo string, fqn string, path string")
+    assert _pairs(X.resolve_wildcard(java, names, packages=True), "source", "target") == [
+        ("A.java", "mvn:z"), ("A.java", "package:a"), ("A.java", "package:a.b"), ("package:a", "a/E.java"), ("package:a", "a/b/C.java"), ("package:a", "a/b/D.java"), ("package:a.b", "a/b/C.java"), ("package:a.b", "a/b/D.java"),
+    ]
