@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -157,6 +158,12 @@ class Pair:
         return out
 
 
+@cache
+def pair(a_path: str | None, b_path: str | None) -> Pair:
+    """Read once by a Python worker, which answers many tasks."""
+    return Pair(a_path, b_path)
+
+
 def _among(these: np.ndarray, those: np.ndarray) -> np.ndarray:
     """Which entries of a sorted array are in another."""
     if not len(those):
@@ -190,7 +197,7 @@ def align_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary()]
 
     def make():
-        both = Pair(a_path, b_path)
+        both = pair(a_path, b_path)
 
         def one(batch: pa.RecordBatch):
             texts = [t or "" for t in batch.column(1).to_pylist()]
@@ -212,7 +219,7 @@ def pair_counts(aligned: DataFrame, a_path: str | None = None, b_path: str | Non
     """(a, b, n_docs): how many rows of aligned hold each id pair linked."""
 
     def run(batches):
-        both = Pair(a_path, b_path)
+        both = pair(a_path, b_path)
         width, vector = len(both.b_bytes), np.zeros(len(both.a_bytes), np.int64)
         keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
@@ -249,7 +256,7 @@ def _links(aligned: DataFrame, a_path: str | None, b_path: str | None) -> DataFr
     """(row, a, b, links) of every row's distinct pairs."""
 
     def make():
-        both = Pair(a_path, b_path)
+        both = pair(a_path, b_path)
         width = len(both.b_bytes)
 
         def one(batch: pa.RecordBatch):
@@ -288,7 +295,7 @@ def align_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     known = docs.sparkSession.sparkContext.broadcast((a[order], b[order], n[order], (n == most[a])[order]))
 
     def make():
-        both = Pair(a_path, b_path)
+        both = pair(a_path, b_path)
         width = len(both.b_bytes)
         a, b, n, best = known.value
         keys = a * width + b
