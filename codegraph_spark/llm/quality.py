@@ -40,9 +40,12 @@ def repeated_words(words: Column) -> Column:
         pairs = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
         return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), bind(pairs, covered)).otherwise(F.lit(0).cast("long"))
 
-    last = F.size(words) - 3
-    windows = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))
-    return F.when(last >= 1, bind(windows, count)).otherwise(F.lit(0).cast("long"))
+    def of(w: Column) -> Column:
+        last = F.size(w) - 3
+        windows = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
+        return F.when(last >= 1, bind(windows, count)).otherwise(F.lit(0).cast("long"))
+
+    return bind(words, of)
 
 
 def normalised_lines(text: Column) -> Column:
