@@ -38,7 +38,7 @@ def test_findings_of_any_shape(spark):
 def test_entrypoints_exports_and_nodes(spark):
     d = docs(spark, {"entrypoints": ["a", {"id": "b"}], "entries": {"list": [{"path": "c:/x"}, 5]}}, {"entries": ["a"], "exports": {"lib\\f.js": {"named": ["x", {"name": "y"}]}}}, {"exports": {"lib/f.js": {"named": ["z", "x"]}}})
     assert {r["id"] for r in D.merge_entrypoints(d).collect()} == {"a", "b", "C:/x"}
-    assert [(r["path"], r["grp"], r["items"]) for r in D.ingest_exports(d).collect()] == [("lib/f.js", "named", ["x", '{"name": "y"}', "z"])]
+    assert [(r["path"], r["grp"], r["items"]) for r in D.ingest_exports(d).collect()] == [("lib/f.js", "named", ["x", '{"name":"y"}', "z"])]
     n = spark.createDataFrame([("r", 1, "a", "unused", None, 3), ("r", 2, "a", "used", "js", 2), ("r", 3, "a", "unused", "py", None)], "repo string, seq long, id string, state string, lang string, sizeLOC int")
     assert [tuple(r) for r in D.merge_nodes(n).select("id", "state", "sizeLOC", "lang").collect()] == [("a", "used", 3, "js")]
 
