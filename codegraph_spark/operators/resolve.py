@@ -19,12 +19,13 @@ ASKED = ("ord", "line", "spec", "module", "name")
 
 def _resolve(imports: DataFrame, candidates: Column, existing: DataFrame) -> DataFrame:
     """imports plus `hit`: what the first candidate that exists leads to (itself, or the column `hit` of existing); null where
-    none. Repeated import rows are asked once, but all stay."""
+    none. Repeated import rows are asked once, but all stay. The joins are never broadcast: how large candidates become when they
+    are exploded is not seen by the planner."""
     known = existing if "hit" in existing.columns else existing.select("repo", "path", F.col("path").alias("hit"))
     asked = imports.select("repo", candidates.alias("__cg_all")).distinct()
     exploded = asked.select("repo", "__cg_all", F.posexplode("__cg_all").alias("rank", "path"))
-    hits = exploded.join(known.select("repo", "path", "hit").distinct(), ["repo", "path"]).groupBy("repo", "__cg_all").agg(F.min_by("hit", "rank").alias("hit"))
-    return imports.withColumn("__cg_all", candidates).join(hits, ["repo", "__cg_all"], "left").drop("__cg_all")
+    hits = exploded.hint("merge").join(known.select("repo", "path", "hit").distinct(), ["repo", "path"]).groupBy("repo", "__cg_all").agg(F.min_by("hit", "rank").alias("hit"))
+    return imports.withColumn("__cg_all", candidates).join(hits.hint("merge"), ["repo", "__cg_all"], "left").drop("__cg_all")
 
 
 def _edges(found: DataFrame, outside: Column, unknown: str = "static") -> DataFrame:
