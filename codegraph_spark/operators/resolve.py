@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
+from .graph import cut
 from .imports import some
 from .modules import KOTLIN_ROOTS, module_lookup, python_modules
 
@@ -92,6 +93,46 @@ def _through_packages(wanted: DataFrame, members: DataFrame, keys: list[str], na
     return ends.unionByName(held, allowMissingColumns=True)
 
 
+def _packages(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges that lead to packages, and (repo, package, file) of what these hold."""
+    held = edges.where("kind = 'package'").select("repo", F.col("source").alias("package"), F.col("target").alias("file"))
+    return edges.where((F.col("kind") != "package") & F.col("target").startswith(PACKAGE)), held
+
+
+def without_packages(edges: DataFrame) -> DataFrame:
+    """Edges through packages as edges to their files, each (source, target, kind) once."""
+    heads, held = _packages(edges)
+    led = heads.withColumnRenamed("target", "package").join(held, ["repo", "package"]).withColumnRenamed("file", "target").select(edges.columns)
+    direct = edges.where((F.col("kind") != "package") & ~F.col("target").startswith(PACKAGE))
+    return direct.unionByName(led).dropDuplicates(["repo", "source", "target", "kind"])
+
+
+def disjoint_packages(edges: DataFrame) -> DataFrame:
+    """Edges through packages, so that no (source, target, kind) is led through two packages: what package_degrees() then counts
+    is without_packages(). Of packages that one file imports, one that another holds whole goes; those that share only some files
+    lead to these directly."""
+    by = ["repo", "source", "kind"]
+    heads, held = _packages(edges)
+    several = heads.groupBy(*by).agg(F.count("*").alias("n")).where("n > 1")
+    if several.isEmpty():
+        return edges
+    mine = cut(heads.join(several.select(*by), by, "left_semi").select(*by, F.col("target").alias("package")))
+    held = held.join(mine.select("repo", "package").distinct(), ["repo", "package"], "left_semi")
+    sizes = held.groupBy("repo", "package").agg(F.count("*").alias("size"))
+    other = lambda df: df.withColumnRenamed("package", "other")
+    shared = held.join(other(held), ["repo", "file"]).where("package <> other").groupBy("repo", "package", "other").agg(F.count("*").alias("both"))
+    shared = shared.join(sizes, ["repo", "package"]).join(other(sizes).withColumnRenamed("size", "other_size"), ["repo", "other"])
+    meets = cut(mine.join(other(mine), by).join(shared, ["repo", "package", "other"]))
+    within = meets.where("both = size and (size < other_size or other < package)").select(*by, "package").distinct()
+    left = meets.join(within, [*by, "package"], "left_anti").join(other(within), [*by, "other"], "left_anti")
+    loose = cut(left.select(*by, "package").distinct())
+    as_target = lambda df: df.withColumnRenamed("package", "target")
+    taken = as_target(heads.withColumnRenamed("target", "package").join(loose, [*by, "package"], "left_semi")).select(edges.columns)
+    direct = taken.withColumnRenamed("target", "package").join(held, ["repo", "package"]).withColumnRenamed("file", "target").select(edges.columns)
+    kept = edges.join(as_target(within.union(loose)), [*by, "target"], "left_anti").select(edges.columns)
+    return kept.unionByName(direct.dropDuplicates([*by, "target"]))
+
+
 def package_degrees(edges: DataFrame) -> DataFrame:
     """(repo, id, inDeg, outDeg) of files and externals, from edges through packages: those that the graph without packages has,
     in which every import of a package leads to each of its files."""

@@ -33,19 +33,24 @@ def _named(ids: DataFrame, column: str = "path") -> DataFrame:
     return ids.select("repo", F.col(column).alias("id")).where("id is not null")
 
 
-def crawl_edges(files: DataFrame, repo_paths: DataFrame, lang: str, manifests: DataFrame) -> DataFrame:
-    """Edges of the language's imports; see the resolvers. Each (source, target, kind) once."""
+def _with_degrees(nodes: DataFrame, degrees: DataFrame) -> DataFrame:
+    return nodes.join(degrees, ["repo", "id"], "left").withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("inDeg", "outDeg")})
+
+
+def crawl_edges(files: DataFrame, repo_paths: DataFrame, lang: str, manifests: DataFrame, packages: bool = False) -> DataFrame:
+    """Edges of the language's imports; see the resolvers. Each (source, target, kind) once. packages: imports of whole packages
+    lead through one node a package."""
     if lang == "js":
         edges = X.resolve_js(R.dedupe_imports(I.js_imports(files)), repo_paths)
     elif lang == "py":
         edges = X.resolve_python(I.py_imports(files), repo_paths)
     elif lang == "go":
-        edges = X.resolve_go(I.go_imports(files), files, I.manifest_names(manifests))
+        edges = X.resolve_go(I.go_imports(files), files, I.manifest_names(manifests), packages)
     elif lang == "rs":
         edges = X.resolve_rust(I.rust_imports(files), repo_paths, M.cargo_dependencies(manifests))
     elif lang in ("java", "kt"):
         names, imports = N.jvm_names(files, lang), I.jvm_imports(files)
-        edges = X.resolve_fqn(imports, names, lang, repo_paths).unionByName(X.resolve_wildcard(imports, names, lang))
+        edges = X.resolve_fqn(imports, names, lang, repo_paths).unionByName(X.resolve_wildcard(imports, names, lang, packages), allowMissingColumns=True)
     elif lang == "cs":
         spaces = files.select("repo", "path", I.declared_package("cs").alias("namespace")).where("namespace is not null")
         anchors = R.namespace_anchor(spaces)
@@ -93,18 +98,23 @@ def crawl_graph(files: DataFrame, repo_paths: DataFrame, lang: str, entries: Dat
         raise ValueError(f"no crawl for {lang!r}; there are {', '.join(LANGUAGES)}")
     if manifests is None:
         manifests = files.select("repo", "path", F.lit(None).cast("string").alias("content")).limit(0)
-    edges = G.cut(crawl_edges(files, repo_paths, lang, manifests))
+    # an import of a package leads through one node: imports and files, not their product
+    edges = G.cut(crawl_edges(files, repo_paths, lang, manifests, packages=True))
+    packed = lang in ("go", "java", "kt")
+    if packed:
+        edges = X.disjoint_packages(edges)
     own = files.select("repo", F.col("path").alias("id"), F.lit("file").alias("type"), F.lit(lang).alias("lang"), T.loc(F.col("content")).alias("sizeLOC"))
     active = edges.where("kind = 'side_effect'").select("repo", F.col("source").alias("id"), F.lit(True).alias("hasSideEffects")).distinct()
     own = own.join(active, ["repo", "id"], "left").withColumn("hasSideEffects", F.coalesce("hasSideEffects", F.lit(False)))
-    nodes = R.degrees(R.all_nodes(own, R.externals(edges, own)), edges)
+    nodes = R.all_nodes(own, R.externals(edges.where(~F.col("target").startswith(X.PACKAGE)) if packed else edges, own))
+    nodes = _with_degrees(nodes, X.package_degrees(edges)) if packed else R.degrees(nodes, edges)
     named = crawl_entries(files, repo_paths, lang, manifests)
     if entries is not None:
         named = named.union(entries.select("repo", "id")).distinct()
     sources = nodes.where("type = 'file'")
     start = G.entries_with_fallback(named, sources) if lang == "js" else named.join(sources, ["repo", "id"], "left_semi")
     effects = edges.where("kind = 'side_effect'").select("repo", F.col("target").alias("id"))
-    return Graph(G.node_states(nodes, G.reach(edges, start), effects if lang == "js" else None, any_degree=lang == "dart"), edges, start)
+    return Graph(G.node_states(nodes, G.reach(edges, start), effects if lang == "js" else None, any_degree=lang == "dart"), X.without_packages(edges) if packed else edges, start)
 
 
 def merge_and_classify(docs: DataFrame, keep_rules=()) -> DataFrame:
