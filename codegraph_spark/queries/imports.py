@@ -105,7 +105,8 @@ def resolve_wildcard(spark, d):
 @query(f"SELECT DISTINCT i.repo, 'mvn:' || i.spec AS id, 'external' AS type, 'used' AS state FROM ({WILD}) i WHERE NOT EXISTS (SELECT 1 FROM ({NAMES}) n WHERE i.repo = n.repo AND starts_with(n.fqn, i.spec || '.'))")
 def external_packages(spark, d):
     names = frame(spark, d, NAMES)
-    edges = X.resolve_wildcard(frame(spark, d, WILD), names)
+    # through packages: one edge an import, whatever it leads to
+    edges = X.resolve_wildcard(frame(spark, d, WILD), names, packages=True).where("not internal")
     return R.externals(edges, names.selectExpr("repo", "path AS id")).select("repo", "id", "type", "state")
 
 

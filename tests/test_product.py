@@ -15,3 +15,11 @@ def test_product_of_one_package_is_spread(spark):
     assert edges.where("internal").groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 4000 * 50
     outside = R.externals(X.resolve_wildcard(imports, names, packages=True).where("not internal"), names.selectExpr("repo", "path AS id"))
     assert outside.count() == 1000
+
+
+def test_external_packages_makes_no_product(spark):
+    """The query's plan meets packages, not their files."""
+    from codegraph_spark.queries import QUERIES
+
+    plan = QUERIES["external_packages"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "package:" in plan and "__cg_share" not in plan
