@@ -6,8 +6,9 @@ within 4 of 64 bits. That is not enough: at a similarity of 0.8 two SimHashes di
 of similarity 0.8 shares no band with a chance of 0.07 %. Every candidate of either kind is verified on the whole sets. In a
 bucket each node first meets the one that meets most nodes in all its buckets (what a group was copied from meets more of its
 members than they each other); where a bucket still holds several components, each node meets its next
-neighbours in an order of the bucket's own and the node with most verified links, until no more links appear. So a bucket of
-m nodes makes a multiple of m pairs, not m * m.
+neighbours in an order of the bucket's own and the node with most verified links, until no more links appear. What a bucket
+still holds in several components then is compared whole, each pair of nodes of different components whose sets' sizes allow
+a similarity of 0.8. So a bucket whose m nodes link makes a multiple of m pairs; only nodes that don't link make m * m.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from .common import ROW_DOC, ROW_HASH, WordHashes, arrow_map, connected_componen
 from .simhash import _LOWER, near_links
 
 SHINGLE, BANDS, ROWS, NEIGHBOURS = 5, 24, 6, 4
+#: Nodes of one bucket that meet its others in one task.
+SHARE = 1000
 #: Similarity of near copies, as numerator and denominator.
 LEAST = (4, 5)
 #: Rows of other tables that a set of shingles, and a row of sketches, weighs as much as.
@@ -96,6 +99,19 @@ def _small(df: DataFrame, n: int) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
+def other_components(open_: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(src, dst): all pairs of nodes of one bucket and different components, but for those whose sizes rule out a link.
+    open_(band, node, component), sizes(node, size). A bucket's nodes are dealt into shares that meet it in tasks of their own."""
+    known = open_.select("band", "node", "component").join(sizes, "node")
+    n = int(open_.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shares = known.groupBy("band").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares"))
+    known = known.join(shares, "band")
+    dealt = known.withColumn("share", F.pmod(F.xxhash64("node", "band"), "shares").cast("int")).drop("shares").repartition(n, "band", "share")
+    held = known.select("band", F.col("node").alias("node2"), F.col("component").alias("component2"), F.col("size").alias("size2"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share")).repartition(n, "band", "share")
+    fits = F.least("size", "size2") * LEAST[1] >= F.greatest("size", "size2") * LEAST[0]
+    return dealt.join(held, ["band", "share"]).where("node < node2 and component <> component2").where(fits).select(F.col("node").alias("src"), F.col("node2").alias("dst")).distinct()
+
+
 def near_copy_components(rows: DataFrame, text_col: str = "text") -> DataFrame:
     """(ROW_DOC, ROW_HASH, component), one row per row of rows, which carries these two columns of row_identity.
 
@@ -159,6 +175,13 @@ def near_copy_components(rows: DataFrame, text_col: str = "text") -> DataFrame:
         n_pairs = pairs.count()
         more = cut(verified(pairs, n_pairs * SET_ROWS)) if n_pairs else pairs
         if more.isEmpty():
+            # chosen pairs link no more: the rest is compared whole
+            tried = pairs if tried is None else tried.union(pairs)
+            rest = cut(other_components(open_, sets.select("node", F.size("s").alias("size"))).join(tried, ["src", "dst"], "left_anti"))
+            n_rest = rest.count()
+            if n_rest:
+                links = links.union(cut(verified(rest, n_rest * SET_ROWS)))
+                groups = some(connected_components(links))
             break
         tried = pairs if tried is None else tried.union(pairs)
         links = links.union(more)
