@@ -7,8 +7,8 @@ of similarity 0.8 shares no band with a chance of 0.07 %. Every candidate of eit
 bucket each node first meets the one that meets most nodes in all its buckets (what a group was copied from meets more of its
 members than they each other); where a bucket still holds several components, each node meets its next
 neighbours in an order of the bucket's own and the node with most verified links, until no more links appear. What a bucket
-still holds in several components then is compared whole, each pair of nodes of different components whose sets' sizes allow
-a similarity of 0.8. So a bucket whose m nodes link makes a multiple of m pairs; only nodes that don't link make m * m.
+still holds in several components then is joined exactly, by what each set and that of the first node don't share (see
+other_components): nodes that each differ from it in their own way make no pairs.
 """
 
 from __future__ import annotations
@@ -23,8 +23,6 @@ from .common import ROW_DOC, ROW_HASH, WordHashes, arrow_map, connected_componen
 from .simhash import _LOWER, near_links
 
 SHINGLE, BANDS, ROWS, NEIGHBOURS = 5, 24, 6, 4
-#: Nodes of one bucket that meet its others in one task.
-SHARE = 1000
 #: Similarity of near copies, as numerator and denominator.
 LEAST = (4, 5)
 #: Rows of other tables that a set of shingles, and a row of sketches, weighs as much as.
@@ -99,17 +97,34 @@ def _small(df: DataFrame, n: int) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
-def other_components(open_: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(src, dst): all pairs of nodes of one bucket and different components, but for those whose sizes rule out a link.
-    open_(band, node, component), sizes(node, size). A bucket's nodes are dealt into shares that meet it in tasks of their own."""
-    known = open_.select("band", "node", "component").join(sizes, "node")
-    n = int(open_.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shares = known.groupBy("band").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares"))
-    known = known.join(shares, "band")
-    dealt = known.withColumn("share", F.pmod(F.xxhash64("node", "band"), "shares").cast("int")).drop("shares").repartition(n, "band", "share")
-    held = known.select("band", F.col("node").alias("node2"), F.col("component").alias("component2"), F.col("size").alias("size2"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share")).repartition(n, "band", "share")
-    fits = F.least("size", "size2") * LEAST[1] >= F.greatest("size", "size2") * LEAST[0]
-    return dealt.join(held, ["band", "share"]).where("node < node2 and component <> component2").where(fits).select(F.col("node").alias("src"), F.col("node2").alias("dst")).distinct()
+def other_components(met: DataFrame, sets: DataFrame, rows: int) -> DataFrame:
+    """(src, dst): of all pairs of nodes of one group and different components those that may link; every pair that does is among them.
+
+    met(first, node, component): the nodes of the buckets of one first, each compared with it before; sets(node, s); rows: those of met.
+    Only what a set and first's don't share is compared, D(x): x and y link if 9 * (|D(x)| + |D(y)| - 2 * |D(x) & D(y)|) <= |x| + |y|.
+    Of nodes of two components one, x, does not link to first. So they share (9 * |D(x)| - |x| - |first|) / 10 of
+    D(x) or more, and more than none: x is looked up by its rarest shingles of D(x), all but that number less one. A shingle that one
+    component alone holds can't be shared, so what x and y can share at most is known before they meet.
+    """
+    some = lambda df, each=SET_ROWS: narrow(df, rows * each)
+    home = some(met.where("node = first").select("first", F.col("component").alias("home"))).join(sets.select(F.col("node").alias("first"), F.col("s").alias("sf")), "first")
+    apart = join_hot(met.where("node <> first"), cut(narrow(home, rows)), "first").join(sets, "node")
+    apart = apart.select("first", "node", "component", (F.col("component") != F.col("home")).alias("away"), F.size("s").alias("size"), F.size("sf").alias("size_first"), F.concat(F.array_except("s", "sf"), F.array_except("sf", "s")).alias("d"))
+    apart = cut(some(apart))
+    held = apart.select("first", "node", "component", F.explode("d").alias("t"))
+    mixed = some(held.groupBy("first", "t").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("n")).where("a < b")).select("first", "t", "n")
+    shared = some(some(held.select("first", "node", "t").join(mixed, ["first", "t"])).groupBy("first", "node").agg(F.array_sort(F.collect_list(F.struct("n", "t"))).alias("x")))
+    need, can = LEAST[0] + LEAST[1], F.size("x")
+    least = F.greatest(F.lit(1), F.ceil((need * F.size("d") - F.col("size") - F.col("size_first")) / (need + 1)))
+    known = some(apart.join(shared, ["first", "node"])).select(
+        "first", "node", "component", "away", "x", least.cast("int").alias("least"),
+        (need * F.size("d") - F.col("size")).alias("need"), (2 * need * can - need * F.size("d") + F.col("size")).alias("gain"),
+    )
+    known = cut(known)
+    ends = lambda df, n, x: df.select("first", F.explode(x).alias("x"), *[F.col(c).alias(c + n) for c in ("node", "component", "need", "gain")]).withColumn("t", F.col("x.t")).drop("x")
+    left = ends(known.where(F.col("away") & (can >= F.col("least"))), "1", F.slice("x", F.lit(1), can - F.col("least") + 1))
+    found = left.join(ends(known, "2", F.col("x")), ["first", "t"]).where("node1 <> node2 and component1 <> component2 and need1 <= gain2 and need2 <= gain1")
+    return some(found.select(F.least("node1", "node2").alias("src"), F.greatest("node1", "node2").alias("dst")).distinct())
 
 
 def near_copy_components(rows: DataFrame, text_col: str = "text") -> DataFrame:
@@ -175,9 +190,10 @@ def near_copy_components(rows: DataFrame, text_col: str = "text") -> DataFrame:
         n_pairs = pairs.count()
         more = cut(verified(pairs, n_pairs * SET_ROWS)) if n_pairs else pairs
         if more.isEmpty():
-            # chosen pairs link no more: the rest is compared whole
+            # chosen pairs link no more: the rest is joined exactly
             tried = pairs if tried is None else tried.union(pairs)
-            rest = cut(other_components(open_, sets.select("node", F.size("s").alias("size"))).join(tried, ["src", "dst"], "left_anti"))
+            met = cut(some(open_.join(buckets, ["band", "node"]).select("first", "node", "component").distinct()))
+            rest = cut(other_components(met, sets, met.count()).join(tried, ["src", "dst"], "left_anti"))
             n_rest = rest.count()
             if n_rest:
                 links = links.union(cut(verified(rest, n_rest * SET_ROWS)))
