@@ -97,3 +97,30 @@ def test_a_hub_is_cut_down_before_it_moves(spark):
     top = relations.top_neighbors(edges, nodes, 3)
     assert "Partial" in (plan := top._jdf.queryExecution().executedPlan().toString()) and "WindowGroupLimit" in plan
     assert [r["neighbor"] for r in top.where("id = 'hub'").orderBy("rank").collect()] == ["0", "1", "10"]
+
+
+def test_nodes_of_one_number_are_numbered_anew(spark, monkeypatch):
+    """With the first salt all nodes have the same hash; two repos have nodes of the same ids."""
+    real, salts = F.xxhash64, []
+
+    def clash(salt, *rest):
+        salts.append(salt)
+        return F.lit(7).cast("long") if len(salts) < 2 else real(salt, *rest)
+
+    monkeypatch.setattr(graph.F, "xxhash64", clash)
+    edges = spark.createDataFrame([("r", "a", "b"), ("r", "b", "c"), ("s", "c", "d"), ("s", "a", "c"), (None, "a", "z"), ("r", "c", None)], "repo string, source string, target string")
+    seeds = spark.createDataFrame([("r", "a"), ("s", "c"), ("s", "lone"), ("r", None)], "repo string, id string")
+    got = {tuple(x) for x in graph.walk(edges, seeds).collect()}
+    assert got == {("r", "a"), ("r", "b"), ("r", "c"), ("s", "c"), ("s", "d"), ("s", "lone")} and len(salts) > 2
+
+
+def test_graph_queries_derive_nodes_and_edges_once(spark, monkeypatch):
+    from codegraph_spark.queries import graphs
+
+    calls, real = [], graphs.frame
+    monkeypatch.setattr(graphs, "frame", lambda *a: calls.append(1) or real(*a))
+    for name in ("graph_totals", "hud_counts", "explain_path", "infer_usage_states"):
+        calls.clear()
+        out = graphs.QUERIES[name](spark, "/root/testdata/sf0.001")
+        assert len(calls) == 2, name
+        assert "lineitem" not in out._jdf.queryExecution().optimizedPlan().toString()
