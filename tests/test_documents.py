@@ -95,3 +95,12 @@ def test_nested_exports_merge(spark):
         ("lib/f.js", "e"): {}, ("lib/g.js", 'q"'): [[1, 2]],
     }
     assert D.merge_export_groups(docs(spark, rounds[0]).limit(0)).count() == 0
+
+
+def test_documents_are_dealt_over_all_tasks_before_they_are_made(spark):
+    """One file of order lines is read in one task; its documents are made in as many as a shuffle has."""
+    from codegraph_spark.queries import documents
+
+    docs = documents.graph_documents(spark, "/root/testdata/sf0.001")
+    assert docs.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert docs.count() == spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
