@@ -1,5 +1,6 @@
 """Crawls of many files: texts are taken apart once, by all tasks."""
 
+from codegraph_spark.functions import text as T
 from codegraph_spark.operators import imports as I
 from codegraph_spark.operators import resolve as X
 from codegraph_spark.queries import crawls, imports
@@ -39,3 +40,26 @@ def test_resolver_tells_lists_of_candidates_apart(spark):
     found = X._resolve(asked, asked["tries"], there)
     assert "__cg" not in "".join(found.columns)
     assert sorted((r["path"], r["hit"] or "") for r in found.collect()) == [("a.js", "y"), ("b.js", "x,y"), ("b.js", "x,y"), ("c.js", ""), ("d.js", ""), ("e.js", ""), ("f.js", "x")]
+
+
+def test_js_texts_are_read_once(spark):
+    """Before, single lines and lists over several lines were two readings of each text, and comments were taken out in both."""
+    src = sources(spark, 3, "js", "concat('import D from \"./p', id, '\"; // x')")
+    assert plan(I.js_imports(src)).count("Range (") == 1
+
+
+def test_texts_without_comments_stay(spark):
+    """What is no comment stays as it is, and a comment that arises when another goes is none the less taken out."""
+    texts = ["", "a / b", "a\r\nb", "x // y", "'//' // z", "/* a\nb */c", "/" + "/* */" + "/ d", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, content string")
+    got = [r["x"] for r in rows.orderBy("i").select(T.js_strip_comments(rows["content"]).alias("x")).collect()]
+    assert got == ["", "a / b", "a\r\nb", "x ", "'//' ", "\nc", "", None]
+
+
+def test_js_imports_of_all_forms(spark):
+    """Lines that end in a carriage return, lists over several lines, several calls a line, and texts without any."""
+    text = 'import "./a";\r\nconst b = require("./b"), c = require("./c");\nimport {\n  d,\n  e as f\n} from "./d";\nno import\n'
+    src = spark.createDataFrame([("r", "m.js", text), ("r", "n.js", ""), ("r", "o.js", None)], "repo string, path string, content string")
+    got = I.js_imports(src).orderBy("ord").collect()
+    assert [(r["path"], r["line"], r["kind"], r["spec"]) for r in got] == [("m.js", 1, "side_effect", "./a"), ("m.js", 2, "require", "./b"), ("m.js", 2, "require", "./c"), ("m.js", 3, "import", "./d")]
+    assert got[-1]["named"] == ["d", "f"]
