@@ -23,3 +23,15 @@ def test_external_packages_makes_no_product(spark):
 
     plan = QUERIES["external_packages"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "package:" in plan and "__cg_share" not in plan
+
+
+def test_products_move_few_rows(spark):
+    """Of a package with many imports and files, a row is moved a few times, not once for each thousand rows of the other side."""
+    asked = spark.range(40000).selectExpr("'r' AS repo", "concat('f', id) AS path", "'a.b' AS spec").union(spark.sql("SELECT 'r', 'g', 'none'"))
+    members = spark.range(300).selectExpr("'r' AS repo", "'a.b' AS spec", "concat('n', id) AS hit")
+    product = X._spread(asked, members, ["repo", "spec"])
+    assert product.count() == 40000 * 300 + 1 and product.where("hit is null").collect()[0]["path"] == "g"
+    assert product.distinct().count() == 40000 * 300 + 1
+    grid = product._jdf.queryExecution().optimizedPlan()
+    moved = [x for x in str(grid.toString()).split("\n") if "RepartitionByExpression" in x]
+    assert len(moved) == 2 and all("__cg_row" in x and "__cg_share" in x for x in moved)
